@@ -142,7 +142,7 @@ def relation_results(live: DataFrame, s: Schema, r) -> DataFrame:
     factors = {r.total: "1", **{n: str(-f) for n, f in r.parts}}
     own = live.filter(F.col("field").isin(list(factors)))
     one = own.groupBy("doc_id", "_k", "field").agg(F.min("value").alias("value"), F.max("value").alias("other"), F.min(F.expr(f"try_cast(place AS {exact})")).alias("place"))
-    f = F.create_map(*(x for n, v in factors.items() for x in (F.lit(n), F.lit(v)))).getItem(F.col("field")).cast("decimal(18,6)")
+    f = F.create_map(*(x for n, v in factors.items() for x in (F.lit(n), F.lit(v))))[F.col("field")].cast("decimal(18,6)")
     value = F.expr(f"try_cast(value AS {exact})")
     sums = one.groupBy("doc_id", "_k").agg(
         F.count("*").alias("fields"), F.bool_and(F.col("value") == F.col("other")).alias("single"),
