@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import atexit
-import os
 import re
 import shutil
 import tempfile
 import uuid
-import zipfile
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship as ship
+
 WORD = re.compile(r"\w+")
 
 
@@ -21,25 +24,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python workers, once for each context."""
-    sc = spark.sparkContext
-    if getattr(sc, "_evidora_shipped", False):
-        return
-    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    folder = tempfile.mkdtemp(prefix="evidora-ship-")
-    path = os.path.join(folder, "evidora_package.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for d, _, names in os.walk(top):
-            for n in names:
-                if n.endswith(".py"):
-                    full = os.path.join(d, n)
-                    z.write(full, os.path.relpath(full, os.path.dirname(top)))
-    sc.addPyFile(path)
-    sc._evidora_shipped = True
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a fresh one where that is unset (tests, local mode)."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
@@ -76,6 +60,29 @@ def release(*tables: DataFrame) -> None:
         drop_path(t.sparkSession, t._evidora_path)
 
 
+def pieces(batches: Iterator[pa.RecordBatch], column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches, cut so that the texts of a piece have about `most` bytes together; a longer text is a piece of its own."""
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < b.num_rows:
+            before = ends[at - 1] if at else 0
+            stop = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
+            yield b.slice(at, stop - at)
+            at = stop
+
+
+def keep_rows(docs: DataFrame, text_col: str, keep: Callable[[list[str | None]], list[bool]]) -> DataFrame:
+    """The rows of docs, columns as they are, for whose texts `keep` says so; it is asked piece by piece."""
+    column = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, column):
+            yield b.filter(pa.array(keep(b.column(column).to_pylist()), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 #: Largest number of rows that small_side() lets a join broadcast.
 BROADCAST_ROWS = 200_000
 

@@ -33,10 +33,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import materialize
+from ._shared import materialize, pieces
 
 END = b""
-DIM, NOISE, BATCH, RATE = 24, 32, 4096, 0.08
+DIM, NOISE, BATCH, RATE = 24, 32, 1024, 0.15
 FLUSH = 200_000
 
 
@@ -173,7 +173,7 @@ def count_tokens(rows: DataFrame) -> DataFrame:
             found.clear()
             return b
 
-        for b in batches:
+        for b in pieces(batches, 0):
             for t in b.column(0).to_pylist():
                 found.update(tokens(t))
                 found[END] += 1
@@ -184,6 +184,20 @@ def count_tokens(rows: DataFrame) -> DataFrame:
     return rows.filter(~F.col("held_out")).select("text").mapInArrow(count, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
 
+def commonest(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
+    """At most `most` of the commonest tokens, all that reach some count, by count and token."""
+    level = F.floor(F.log2("c") * 16).cast("int")
+    levels = sorted(((r["level"], r["n"]) for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    held, least = 0, None
+    for at, n in levels:
+        if held + n > most:
+            break
+        held, least = held + n, at
+    if least is None:
+        return []
+    return sorted(((bytes(r["token"]), int(r["c"])) for r in counts.filter(level >= least).collect()), key=lambda x: (-x[1], x[0]))
+
+
 def train_pass(rows: DataFrame, units: Units, unit_counts: np.ndarray, net: Net) -> Net:
     """One pass: each task trains from `net` over its rows; the mean of their parameters, weighted by tokens."""
     sent = rows.sparkSession.sparkContext.broadcast((list(units), units.n_suffix, unit_counts, net.rows().astype(np.float32)))
@@ -192,7 +206,7 @@ def train_pass(rows: DataFrame, units: Units, unit_counts: np.ndarray, net: Net)
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         top, n_suffix, counts, start = sent.value
         of, net, trained, trainer = Units(top, n_suffix), Net.of_rows(start), 0, None
-        for b in batches:
+        for b in pieces(batches, 0):
             words: list[bytes] = []
             lengths = []
             for t in b.column(0).to_pylist():
@@ -234,7 +248,7 @@ def lm_scoring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     n_first = F.lit(n_suffix)
     total = counts.agg(F.sum("c"), F.count("*")).first()
     n_all, n_kinds = int(total[0] or 0), int(total[1])
-    frequent = [(bytes(r["token"]), int(r["c"])) for r in counts.orderBy(F.desc("c"), F.asc("token")).limit(n_frequent).collect()]
+    frequent = commonest(counts, n_frequent)
     top = [t for t, _ in frequent[:n_top]]
     if END not in top:
         top = [END, *top[: n_top - 1]]
@@ -279,7 +293,7 @@ def lm_scoring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         inner[tail] = np.log10(c[tail]) + share[unit[tail] - of.first]
         seen = c > 0
         begin, row = os.urandom(8), 0
-        for b in batches:
+        for b in pieces(batches, 1):
             texts = b.column(1).to_pylist()
             words: list[bytes] = []
             lengths = []
