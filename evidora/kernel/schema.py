@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field as member
 from decimal import Decimal
 from typing import Any
@@ -11,10 +11,10 @@ import regex
 
 from . import dates
 from .canonical import digest
-from .text import fold, normalise, parse_value
+from .text import BASE, Vocabulary, fold, normalise, parse_value
 from .units import UnitTable
 
-TYPES = ("number", "integer", "string", "date", "record")
+TYPES = ("number", "integer", "string", "date", "record", "passage")
 COMPARATORS = ("eq", "gt", "ge", "lt", "le", "approx", "range")
 _NAME = regex.compile(r"[a-z][a-z0-9_]{0,63}")
 
@@ -66,10 +66,12 @@ class Field:
     options: tuple[str, ...] | None = None
     formats: tuple[str, ...] | None = None
     members: Mapping[str, "Field"] | None = None
+    columns: tuple[str, ...] | None = None
+    markers: tuple[str, ...] | None = None
 
     @staticmethod
     def of(name: str, obj: Any) -> Field:
-        o = _closed(obj, {"type", "unit", "comparator", "minimum", "maximum", "required", "multiple", "keys", "aliases", "options", "formats", "members", "description"}, f"field {name}")
+        o = _closed(obj, {"type", "unit", "comparator", "minimum", "maximum", "required", "multiple", "keys", "aliases", "columns", "markers", "options", "formats", "members", "description"}, f"field {name}")
         _need(bool(_NAME.fullmatch(name)), f"{name!r} is no field name")
         kind, unit, comparator = o.get("type", "number"), o.get("unit"), o.get("comparator", "eq")
         _need(kind in TYPES, f"field {name}: type")
@@ -84,6 +86,8 @@ class Field:
         if options is not None:
             _need(kind == "string" and isinstance(options, list) and 1 <= len(options) <= 1000 and all(isinstance(x, str) and x.strip() for x in options), f"field {name}: options")
             _need(len({normalise(x) for x in options}) == len(options), f"field {name}: options repeat")
+        if kind == "passage":
+            _need(unit is None and comparator == "eq" and not {"minimum", "maximum", "keys", "aliases", "columns", "markers", "options", "formats"} & {k for k, v in o.items() if v is not None}, f"field {name}: a passage has no such member")
         formats, low, high, members = o.get("formats"), o.get("minimum"), o.get("maximum"), None
         if kind == "date":
             _need(isinstance(formats, list) and len(formats) > 0 and len(set(formats)) == len(formats) and set(formats) <= set(dates.FORMATS), f"field {name}: formats")
@@ -98,7 +102,7 @@ class Field:
             _need(all(m.keys is None and m.type != "record" for m in members.values()), f"field {name}: members have no keys and are no records")
         else:
             _need("members" not in o, f"field {name}: only a record has members")
-        return Field(name, kind, unit, comparator, low, high, *flags, keys, aliases, tuple(options) if options is not None else None, tuple(formats) if formats else None, members)
+        return Field(name, kind, unit, comparator, low, high, *flags, keys, aliases, tuple(options) if options is not None else None, tuple(formats) if formats else None, members, _texts(o.get("columns"), f"field {name}: columns"), _texts(o.get("markers"), f"field {name}: markers"))
 
 
 @dataclass(frozen=True)
@@ -116,12 +120,17 @@ class Schema:
     relations: tuple[Relation, ...] = ()
     record_of: dict[str, str] = member(default_factory=dict)  # member field -> record field
     sha256: str = ""
+    vocabulary: Vocabulary = BASE
 
     @staticmethod
-    def of(obj: Any) -> Schema:
+    def of(obj: Any, packs: Sequence[Mapping[str, Any]] = ()) -> Schema:
+        """A checked schema. packs: the packs that the packet gives."""
+        from .packs import resolve
+
         o = _closed(obj, {"fields", "units", "relations", "checks", "packs"}, "the schema")
         _need(isinstance(o.get("fields"), Mapping), "the schema has no fields")
-        fields = {n: Field.of(n, f) for n, f in o["fields"].items()}
+        used = resolve(o.get("packs", ()), packs)
+        fields = {n: Field.of(n, used.filled(f)) for n, f in o["fields"].items()}
         record_of = {}
         for f in list(fields.values()):
             for m in (f.members or {}).values():
@@ -133,9 +142,10 @@ class Schema:
         for code, forms in units.items():
             u = _closed(forms, {"prefix", "suffix"}, f"unit {code}")
             _need(all(isinstance(x, list) and all(isinstance(y, str) and y.strip() for y in x) for x in u.values()), f"unit {code}")
+        units = {**used.units(), **units}
         relations = tuple(Schema._relation(r, fields, record_of) for r in o.get("relations", ()))
         _need(len({r.id for r in relations}) == len(relations), "relations repeat an id")
-        return Schema(fields, UnitTable(units), relations, record_of, digest("schema", _plain(o)))
+        return Schema(fields, UnitTable(units), relations, record_of, digest("schema", [_plain(o), used.digests()] if used.packs else _plain(o)), used.vocabulary())
 
     @staticmethod
     def _relation(obj: Any, fields: Mapping[str, Field], record_of: Mapping[str, str]) -> Relation:

@@ -150,7 +150,6 @@ def number_tokens(text: str) -> list[Token]:
     return sorted(out + spaced, key=lambda t: t.start)
 
 
-_SCALE_WORD = regex.compile(rf"\s{{0,2}}({'|'.join(SCALE_POWERS)})(?![{LN}])")
 _SCALE_SUFFIX = regex.compile(rf"(bn|Bn|BN|k|K|m|M)(?![{LN}])")
 
 
@@ -169,11 +168,26 @@ def _words(forms) -> str:
     return "|".join(parts)
 
 
-_BEFORE = [(k, regex.compile(_words(v))) for k, v in BEFORE.items()]
-_AFTER = [(k, regex.compile(_words(v))) for k, v in AFTER.items()]
+class Vocabulary:
+    """Word lists and the patterns made of them; packs add words to the base."""
+
+    def __init__(self, scales: dict[str, int] | None = None, before: dict[str, list[str]] | None = None, after: dict[str, list[str]] | None = None, abbreviations: list[str] = (), loss: list[str] = ()) -> None:
+        self.scales = {**SCALE_POWERS, **(scales or {})}
+        self.loss = tuple(loss)
+        merged = lambda base, more: {k: (*base.get(k, ()), *sorted(set((more or {}).get(k, ())) - set(base.get(k, ())), key=lambda w: (-len(w), w))) for k in {**base, **(more or {})}}
+        self.words_before, self.words_after = merged(BEFORE, before), merged(AFTER, after)
+        self.before = [(k, regex.compile(_words(v))) for k, v in self.words_before.items()]
+        self.after = [(k, regex.compile(_words(v))) for k, v in self.words_after.items()]
+        names = "|".join(map(regex.escape, sorted(map(fold, self.scales), key=len, reverse=True)))
+        self.scale_names = names
+        self.scale = regex.compile(rf"\s{{0,2}}({names})(?![{LN}])")
+        short = sorted({*ABBREVIATIONS, *abbreviations}, key=len, reverse=True)
+        self.abbreviation = regex.compile(rf"(?<![{LN}])(?:{'|'.join(regex.escape(x) for x in short)})$")
+        self.longest_abbreviation = max(map(len, short))
+
+
 _NEGATED = regex.compile(rf"(?<![{LN}])(?:not|cannot|can['’]t)(?:\s+be)?\s+$")
 _BREAK = regex.compile(r"[.;](?=\s)|•|\n[ \t\r]*\n")
-_ABBREVIATION = regex.compile(rf"(?<![{LN}])(?:{'|'.join(regex.escape(a) for a in sorted(ABBREVIATIONS, key=len, reverse=True))})$")
 _TO_NEXT = regex.compile(r"(?:\s*(?P<word>[^\s\d]{1,12}))?(?P<gap>\s*)(?P<c>to|through|thru|and|[-–])\s*[^\s]{0,4}?\s*")
 _BETWEEN = regex.compile(rf"(?<![{LN}])between(?![{LN}])")
 _SIX = regex.compile(r"(?:\s+\p{L}[\p{L}\p{M}]*){0,6}\s+")
@@ -181,11 +195,14 @@ _FROM = regex.compile(rf"(?<![{LN}])from(?![{LN}])\s*\S{{0,4}}\s*$")
 _CHANGE = regex.compile(rf"(?<![{LN}])(?:{'|'.join(CHANGE_WORDS)})(?![{LN}])((?:\s+\p{{L}}(?:[\p{{L}}'’-]*\p{{L}})?){{0,6}})\s+$")
 
 
+BASE = Vocabulary()
+
+
 class Text:
     """A text with its indexes, built when first asked for and kept for all candidates of a document."""
 
-    def __init__(self, text: str) -> None:
-        self.text = text
+    def __init__(self, text: str, vocabulary: Vocabulary | None = None) -> None:
+        self.text, self.vocabulary = text, vocabulary or BASE
 
     @cached_property
     def folded(self) -> str:
@@ -216,7 +233,7 @@ class Text:
     def _joins(self, at: int, end: int) -> bool:
         if self.text[at] != ".":
             return False
-        m = _ABBREVIATION.search(self.folded, max(0, at - 12), at + 1)
+        m = self.vocabulary.abbreviation.search(self.folded, max(0, at - self.vocabulary.longest_abbreviation - 1), at + 1)
         if not m:
             return False
         gap = regex.compile(r"\s*").match(self.text, end)
@@ -256,9 +273,9 @@ class Text:
         """The power of ten that a scale word or suffix gives a token."""
         if t.value is None:
             return None
-        m = _SCALE_WORD.match(self.folded, t.end)
+        m = self.vocabulary.scale.match(self.folded, t.end)
         if m:
-            return SCALE_POWERS[m[1]]
+            return self.vocabulary.scales[m[1]]
         digits = t.start + (1 if self.text[t.start] in "-−" else 0)
         if digits == t.start and t.start and self.text[t.start - 1] in CURRENCY_SIGNS:
             m = _SCALE_SUFFIX.match(self.text, t.end)
@@ -277,13 +294,13 @@ class Text:
         lo = max(low, t.start - WINDOW, before.end if before else 0)
         hi = min(high, t.end + WINDOW, after.start if after else len(self.text))
         found: list[tuple[int, int, str]] = []
-        for kind, pattern in _BEFORE:
+        for kind, pattern in self.vocabulary.before:
             for m in pattern.finditer(self.folded, lo, t.start):
                 k = kind
                 if k in INVERTED and _NEGATED.search(self.folded, low, m.start()):
                     k = INVERTED[k]
                 found.append((m.start(), m.end(), k))
-        for kind, pattern in _AFTER:
+        for kind, pattern in self.vocabulary.after:
             found += [(m.start(), m.end(), kind) for m in pattern.finditer(self.folded, t.end, hi)]
         out = {k for s, e, k in found if not any(a <= s and e <= b and b - a > e - s for a, b, _ in found)}
         if self._is_range(t, after, first=True) or before and self._is_range(before, t, first=False):

@@ -34,15 +34,15 @@ _ARROW = pa.schema([
 ])
 
 
-def decisions(packets: DataFrame, schema: dict[str, Any], policy: dict[str, Any] | None = None, id_col: str = "doc_id", text_col: str = "text", candidates_col: str = "candidates", extras_col: str | None = None, tasks: int | None = None) -> DataFrame:
+def decisions(packets: DataFrame, schema: dict[str, Any], policy: dict[str, Any] | None = None, id_col: str = "doc_id", text_col: str = "text", candidates_col: str = "candidates", extras_col: str | None = None, tasks: int | None = None, packs: tuple[dict[str, Any], ...] = ()) -> DataFrame:
     """Steps 1 to 11 and each candidate's own flags: a row for each candidate.
 
     schema and policy are checked here, on the driver. extras_col: a JSON object with the members references, doubt,
-    read_complete and source_url. tasks: deal documents out to so many tasks first, for inputs of few files. A document that is no valid packet gives one row with packet_error and no decision.
+    read_complete, source_url, outline, missing_pages and places. packs: vocabulary and kind packs that the schema names. tasks: deal documents out to so many tasks first, for inputs of few files. A document that is no valid packet gives one row with packet_error and no decision.
     """
-    Schema.of(schema)
+    Schema.of(schema, packs)
     Policy.of(policy)
-    sent = packets.sparkSession.sparkContext.broadcast((schema, policy))
+    sent = packets.sparkSession.sparkContext.broadcast((schema, policy, packs))
     cols = [F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text"), (F.col(extras_col) if extras_col else F.lit(None).cast("string")).alias("extras"), F.col(candidates_col).alias("candidates")]
     rows = packets.select(*cols)
     rows = rows.repartition(tasks) if tasks else rows
@@ -51,8 +51,8 @@ def decisions(packets: DataFrame, schema: dict[str, Any], policy: dict[str, Any]
     rows = rows.withColumn("candidates", F.slice("candidates", F.col("slice") * SLICE + 1, SLICE))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s, p = sent.value
-        schema, policy = Schema.of(s), Policy.of(p)
+        s, p, given = sent.value
+        schema, policy = Schema.of(s, given), Policy.of(p)
         for b in batches:
             out = []
             for r in b.to_pylist():
@@ -78,7 +78,10 @@ def _decide(r: dict[str, Any], schema: Schema, policy: Policy) -> list[dict[str,
         doubt = [(d["start"], d["end"], d["confidence"]) for d in extras.get("doubt", ())]
         if any(a >= b for a, b, _ in doubt) or any(x[1] > y[0] for x, y in zip(doubt, doubt[1:], strict=False)):
             raise PacketError("doubt spans are not in order")
-        packet = Packet(r["text"], schema, policy, {x["id"]: x["text"] for x in extras.get("references", ())}, doubt, extras.get("read_complete", True), extras.get("source_url"))
+        outline = [(h["start"], h["end"], h["level"]) for h in extras.get("outline", ())]
+        if any(a >= b or not 1 <= n <= 6 for a, b, n in outline) or any(x[1] > y[0] for x, y in zip(outline, outline[1:], strict=False)):
+            raise PacketError("headings are not in order")
+        packet = Packet(r["text"], schema, policy, {x["id"]: x["text"] for x in extras.get("references", ())}, doubt, extras.get("read_complete", True), extras.get("source_url"), outline, extras.get("missing_pages", ()), extras.get("places", ()))
         given = [loads(c) if c is not None else None for c in r["candidates"] or ()]
     except (PacketError, NotCanonical, KeyError, TypeError, json.JSONDecodeError) as e:
         return [{"doc_id": r["doc_id"], "pos": r["slice"] * SLICE, "packet_error": f"{type(e).__name__}: {e}"}]
@@ -97,9 +100,44 @@ def _add(rows: DataFrame, code: str, when: Column) -> DataFrame:
     return rows.withColumns({"codes": codes, "outcome": outcome})
 
 
-def cross_checks(rows: DataFrame, schema: dict[str, Any], policy: dict[str, Any] | None = None) -> DataFrame:
+def invalid_judgments(rows: DataFrame, judgments: DataFrame) -> DataFrame:
+    """Documents whose judgments name no candidate or more than one, or ask one question twice of a candidate."""
+    named = rows.filter(F.col("candidate_id").isNotNull()).groupBy("doc_id", "candidate_id").agg(F.count("*").alias("_n"))
+    asked = judgments.groupBy("doc_id", "candidate_id", "question").agg(F.count("*").alias("_q"))
+    bad = asked.join(named, ["doc_id", "candidate_id"], "left").filter((F.coalesce("_n", F.lit(0)) != 1) | (F.col("_q") > 1))
+    return bad.select("doc_id").distinct()
+
+
+def judged(rows: DataFrame, judgments: DataFrame, policy: dict[str, Any]) -> DataFrame:
+    """Recorded judgments (doc_id, candidate_id, question, judge_id, judge_digest, answer, p) applied to live decisions.
+
+    A sure answer with the candidate's key clears KEY_NOT_AT_VALUE, one with another key doubts it; so does a low
+    field_match. Judgments of other judges, and questions without a threshold, change nothing.
+    """
+    j = Policy.of(policy).judge
+    if not j:
+        return rows
+    own = judgments.filter((F.col("judge_id") == j["id"]) & (F.col("judge_digest") == j["digest"]))
+    said = own.groupBy("doc_id", "candidate_id").agg(F.max(F.when(F.col("question") == "key", F.struct(F.col("p"), F.col("answer")))).alias("_k"), F.max(F.when(F.col("question") == "field_match", F.col("p"))).alias("_m"))
+    rows = rows.join(said, ["doc_id", "candidate_id"], "left")
+    clear, doubt = j.get("clear", {}).get("KEY_NOT_AT_VALUE"), j.get("doubt", {}).get("field_match")
+    no = F.lit(False)
+    live = F.col("outcome") != "rejected"
+    sure = live & F.coalesce(F.col("_k.p") >= clear, no) if clear is not None else no
+    same = F.coalesce(F.col("_k.answer") == F.col("key"), no)
+    flagged, cited = F.array_contains("codes", "KEY_NOT_AT_VALUE"), F.array_contains("codes", "KEY_CITED")
+    cleared = sure & flagged & same
+    doubted = sure & ~same & (flagged | cited) | (live & F.coalesce(F.col("_m") < doubt, no) if doubt is not None else no)
+    codes = F.when(cleared, F.array_append(F.array_remove("codes", "KEY_NOT_AT_VALUE"), F.lit("MODEL_CLEARED"))).otherwise(F.col("codes"))
+    codes = F.when(doubted, F.array_append(codes, F.lit("MODEL_DOUBT"))).otherwise(codes)
+    rows = rows.withColumn("codes", codes).drop("_k", "_m")
+    flags = F.size(F.array_intersect("codes", F.array(*(F.lit(c) for c in FLAG_ORDER))))
+    return rows.withColumn("outcome", F.when(F.col("outcome") == "rejected", "rejected").when(flags > 0, "needs_verification").otherwise("admitted"))
+
+
+def cross_checks(rows: DataFrame, schema: dict[str, Any], policy: dict[str, Any] | None = None, packs: tuple[dict[str, Any], ...] = ()) -> DataFrame:
     """Flags that candidates give each other: conflicts, agreement between proposers, relations, records."""
-    s, p = Schema.of(schema), Policy.of(policy)
+    s, p = Schema.of(schema, packs), Policy.of(policy)
     single = [n for n, f in s.fields.items() if not f.multiple and n not in s.record_of]
     live = rows.filter((F.col("outcome") != "rejected") & F.col("packet_error").isNull())
     key = ["doc_id", "field", "_k"]
@@ -197,9 +235,14 @@ def coverage(packets: DataFrame, rows: DataFrame, schema: dict[str, Any], id_col
     return sets.missing_required(slots, rows.filter(F.col("outcome") != "rejected"), ["doc_id", "field"])
 
 
-def admit(packets: DataFrame, schema: dict[str, Any], policy: dict[str, Any] | None = None, **options: Any) -> DataFrame:
+def admit(packets: DataFrame, schema: dict[str, Any], policy: dict[str, Any] | None = None, judgments: DataFrame | None = None, packs: tuple[dict[str, Any], ...] = (), **options: Any) -> DataFrame:
     """Decisions of all candidates of all documents, with every flag."""
-    return cross_checks(decisions(packets, schema, policy, **options), schema, policy)
+    rows = decisions(packets, schema, policy, packs=packs, **options)
+    if judgments is not None:
+        bad = invalid_judgments(rows, judgments).withColumn("_bad", F.lit("its judgments name no one candidate"))
+        rows = rows.join(bad, "doc_id", "left").withColumn("packet_error", F.coalesce("packet_error", "_bad")).drop("_bad")
+        rows = judged(rows, judgments, policy or {})
+    return cross_checks(rows, schema, policy, packs)
 
 
 def receipts(rows: DataFrame, schema: dict[str, Any], policy: dict[str, Any] | None = None) -> DataFrame:

@@ -190,3 +190,19 @@ def test_quotes_and_windows(spark):
 def test_contained_names(spark):
     df = spark.createDataFrame([("net sales",), ("total net sales",), ("sales",), ("sale",), (None,)], "n string")
     assert rows_of(spans.contained_names(df, "n"), "inner", "outer") == [("net sales", "total net sales"), ("sales", "net sales"), ("sales", "total net sales")]
+
+
+def test_judgments(spark):
+    schema = {"fields": {"dose": {"unit": "mg", "keys": ["adults", "children"], "multiple": True}}}
+    policy = {"judge": {"id": "j", "digest": "1", "clear": {"KEY_NOT_AT_VALUE": 0.9}, "doubt": {"field_match": 0.2}}}
+    c = lambda i: {"id": i, "field": "dose", "value": "5", "unit": "mg", "key": "children", "evidence": [{"text": "5 mg"}]}
+    docs = [packet(d, "Adults take 5 mg.", c("c")) for d in "abcdef"] + [packet("g", "Adults take 5 mg.", c("c"), c("c"))]
+    said = [("a", "c", "key", "j", "1", "children", 0.95), ("b", "c", "key", "j", "1", "adults", 0.95), ("c", "c", "key", "j", "1", "children", 0.5), ("d", "c", "key", "k", "1", "children", 1.0), ("e", "c", "field_match", "j", "1", None, 0.1), ("f", "x", "key", "j", "1", None, 1.0), ("g", "c", "key", "j", "1", "children", 1.0)]
+    judgments = spark.createDataFrame(said, "doc_id string, candidate_id string, question string, judge_id string, judge_digest string, answer string, p double")
+    packets = spark.createDataFrame(docs, "doc_id string, text string, candidates array<string>")
+    got = {r["doc_id"]: (r["outcome"], list(r["codes"]), r["packet_error"] is None) for r in gate.admit(packets, schema, policy, judgments).collect()}
+    assert got["a"] == ("admitted", ["MODEL_CLEARED"], True)
+    assert got["b"] == ("needs_verification", ["KEY_NOT_AT_VALUE", "MODEL_DOUBT"], True)
+    assert got["c"][1] == got["d"][1] == ["KEY_NOT_AT_VALUE"]
+    assert got["e"][1] == ["KEY_NOT_AT_VALUE", "MODEL_DOUBT"]
+    assert not got["f"][2] and not got["g"][2]
