@@ -19,8 +19,15 @@ def session(app: str = "evidora", **conf: str) -> SparkSession:
     return b.getOrCreate()
 
 
+#: Rows of an Arrow batch where the session leaves Spark's default: texts of any length stay a few megabytes a batch.
+ARROW_ROWS = "1000"
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python workers, once for each context."""
+    """Make a session ready: this package goes to the executors' Python workers, once for each context; Arrow batches are small."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, ARROW_ROWS)
     sc = spark.sparkContext
     if getattr(sc, "_evidora_shipped", False):
         return
