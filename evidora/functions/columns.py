@@ -78,3 +78,14 @@ def byte_offset(text: Column, at: Column) -> Column:
 def digest(kind: str, canonical: Column, prefix: str = "evidora/1") -> Column:
     """Domain-separated SHA-256 of canonical JSON."""
     return F.concat(F.lit("sha256:"), F.sha2(F.concat(F.lit(f"{prefix}:{kind}\x00"), canonical), 256))
+
+
+def visible(text: Column) -> Column:
+    """Control characters other than tab and line break shown as ?."""
+    return F.regexp_replace(text, r"[\x00-\x08\x0b-\x1f\x7f]", "?")
+
+
+def rate(number: Column) -> Column:
+    """A rate with at most four places, without exponent and trailing zeros."""
+    s = F.format_string("%.4f", number.cast("double"))
+    return F.regexp_replace(F.regexp_replace(s, "0+$", ""), r"\.$", "")

@@ -6,7 +6,7 @@ import importlib
 
 from .registry import QUERIES, SQL, Query
 
-for _name in ("set_queries", "window_queries", "calibration_queries", "text_queries", "gate_queries", "source_queries"):
+for _name in ("set_queries", "window_queries", "calibration_queries", "text_queries", "gate_queries", "source_queries", "more_queries"):
     importlib.import_module(f"{__package__}.{_name}")
 
 
