@@ -145,3 +145,30 @@ def event_shares(events: DataFrame, groups: Sequence[str], wrong: Column) -> Dat
     """(groups, total, wrong, share): the share of wrong decisions, rounded up to two places."""
     out = events.groupBy(*groups).agg(F.count("*").alias("total"), F.sum(wrong.cast("long")).alias("wrong"))
     return out.withColumn("share", F.ceil(F.lit(100) * F.col("wrong") / F.col("total")) / F.lit(100.0))
+
+
+def first_of_text(rows: DataFrame, text: str, order: Sequence[str]) -> DataFrame:
+    """The first row of each text, in the given order: texts meet by their digest, merged before the shuffle."""
+    keyed = rows.withColumn("_digest", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
+    first = keyed.groupBy("_digest").agg(F.min(F.struct(*order)).alias("_first"))
+    return keyed.join(first, "_digest").filter(F.struct(*order).eqNullSafe(F.col("_first"))).drop("_digest", "_first")
+
+
+def audit_tasks(picked: DataFrame, fields: dict[str, list[str] | None]) -> DataFrame:
+    """A task for each picked document, field and key; no proposed value is shown. fields: name -> keys or None."""
+    slots = F.array(*(F.struct(F.lit(f).alias("field"), (F.lit(k) if k is not None else F.lit(None).cast("string")).alias("key")) for f, keys in sorted(fields.items()) for k in ([None] if keys is None else sorted(keys))))
+    return picked.select("*", F.inline(slots))
+
+
+def value_lines(packets: DataFrame, values: DataFrame) -> DataFrame:
+    """(doc_id, value, line): the line of a text that holds a corrected value as a whole word, where exactly one line does."""
+    lines = packets.select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    both = lines.join(values.select("doc_id", "value").filter(F.length("value") > 0), "doc_id")
+    words = F.split("line", r"[^\p{L}\p{N}.,]+")
+    hit = both.filter(F.array_contains(words, F.col("value")))
+    return hit.groupBy("doc_id", "value").agg(F.count("*").alias("_n"), F.min("line").alias("line")).filter("_n = 1").drop("_n")
+
+
+def reading_cache(sources: DataFrame, readings: DataFrame, key: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(sources that a stored reading covers, with it; sources that must be read), by source, reader, options and format."""
+    return sources.join(readings, list(key)), sources.join(readings.select(*key), list(key), "left_anti")

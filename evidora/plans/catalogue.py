@@ -4,14 +4,25 @@ from __future__ import annotations
 
 import importlib
 
+from pyspark.sql import DataFrame, SparkSession
+
+from ..session import ship
 from .registry import QUERIES, SQL, Query
 
 for _name in ("set_queries", "window_queries", "calibration_queries", "text_queries", "gate_queries", "source_queries", "more_queries"):
     importlib.import_module(f"{__package__}.{_name}")
 
 
+def _shipped(f: Query) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return f(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Query]:
-    return dict(QUERIES)
+    return {name: _shipped(f) for name, f in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:

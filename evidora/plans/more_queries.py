@@ -238,3 +238,39 @@ def innermost_node(spark: SparkSession, sf_dir: str) -> DataFrame:
     places = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.lit(5).cast("long").alias("at"))
     found = innermost(nodes, places, "k", "at")
     return places.join(found, ["k", "at"], "left").select("k", F.coalesce("node", F.lit(-1)).alias("node"))
+
+
+@query("SELECT doc_id, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS k FROM documents) WHERE k = 1")
+def first_of_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars", "text")
+    return calibration.first_of_text(docs, "text", ["doc_id"]).select("doc_id", "n_chars")
+
+
+@query("""
+SELECT doc_id, f AS field, k AS key FROM documents, (VALUES ('dose', 'adults'), ('dose', 'children'), ('name', NULL)) t(f, k)
+WHERE CAST(('0x' || substr(sha256(CAST(doc_id AS VARCHAR)), 1, 16)) AS UBIGINT)::HUGEINT * 10 < 1 * 18446744073709551616::HUGEINT
+""")
+def audit_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    picked = table(spark, sf_dir, "documents").select("doc_id").filter(calibration.picked_at(F.col("doc_id").cast("string"), "0.1"))
+    return calibration.audit_tasks(picked, {"dose": ["adults", "children"], "name": None})
+
+
+@query("""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
+SELECT doc_id, 'the' AS value, min(line) AS line FROM l WHERE list_contains(regexp_split_to_array(line, '[^\\p{L}\\p{N}.,]+'), 'the') GROUP BY 1 HAVING count(*) = 1
+""")
+def value_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in which one line alone holds a word."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return calibration.value_lines(docs, docs.select("doc_id", F.lit("the").alias("value")))
+
+
+@query("""
+SELECT 'cached' AS status, count(*) AS n FROM pages WHERE page_id % 3 = 0 UNION ALL SELECT 'to read', count(*) FROM pages WHERE page_id % 3 <> 0
+""")
+def reading_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select(F.sha2("html", 256).alias("source"), F.lit("html/1").alias("reader"), "page_id")
+    done = pages.filter("page_id % 3 = 0").select("page_id", "source", "reader", F.lit(True).alias("stored"))
+    cached, rest = calibration.reading_cache(pages, done, ["page_id", "source", "reader"])
+    count = lambda df, s: df.agg(F.count("*").alias("n")).select(F.lit(s).alias("status"), "n")
+    return count(cached, "cached").unionByName(count(rest, "to read"))
