@@ -70,6 +70,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: int, most: int = 4 << 20)
             stop = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
             yield b.slice(at, stop - at)
             at = stop
+    pa.default_memory_pool().release_unused()
 
 
 def keep_rows(docs: DataFrame, text_col: str, keep: Callable[[list[str | None]], list[bool]]) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import WORD
+from ._shared import WORD, keep_rows, pieces
 
 K1, B = 1.2, 0.75
 SHARD, BLOCK, N = 2_000, 2, 5
@@ -252,7 +252,7 @@ def contamination(docs: DataFrame, shards: list[Index], id_col: str = "doc_id",
         sent = spark.sparkContext.broadcast(index)
 
         def find(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in pieces(batches, 1):
                 hits = search(sent.value, b.column(1).to_pylist(), threshold, question, answer)
                 flat = [(i, item, *x) for i, h in enumerate(hits) for item, x in sorted(h.items())]
                 col = lambda k: [x[k] for x in flat]  # noqa: E731, B023
@@ -266,15 +266,12 @@ def contamination(docs: DataFrame, shards: list[Index], id_col: str = "doc_id",
 def without_contaminated(docs: DataFrame, shards: list[Index], text_col: str = "text", threshold: float = 0.5, question: float = 0.5, answer: float = 0.25) -> DataFrame:
     """The rows of docs in whose text no item is found; columns as they are."""
     for index in shards:
-        sent = docs.sparkSession.sparkContext.broadcast(index)
-        docs = docs.filter(_clean(sent, threshold, question, answer)(F.col(text_col).cast("string")))
+        docs = keep_rows(docs, text_col, _clean(docs.sparkSession.sparkContext.broadcast(index), threshold, question, answer))
     return docs
 
 
 def _clean(sent, threshold: float, question: float, answer: float):
-    @F.pandas_udf("boolean")
-    def clean(texts: pd.Series) -> pd.Series:
-        hits = search(sent.value, [None if t is None else str(t) for t in texts], threshold, question, answer)
-        return pd.Series([not h for h in hits], dtype=bool)
+    def clean(texts: list[str | None]) -> list[bool]:
+        return [not h for h in search(sent.value, texts, threshold, question, answer)]
 
     return clean

@@ -22,11 +22,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import keep_rows, pieces
+
 #: Words: runs of letters (any script).
 LETTERS = re.compile(r"[^\W\d_]+")
 DIM, ORDERS, LEXICON = 1 << 16, (1, 2, 3, 4), 400
@@ -218,29 +219,37 @@ def fit(sample: list[tuple[str, str]], seed: int = 7, epochs: int = 3, tokens: i
 
 def label_batch(model: Model | None, texts: list[str | None]) -> tuple[list[str], list[float]]:
     """Language and score of each text; every word of every text is labelled."""
-    found = [LETTERS.findall(t.lower()) if t else [] for t in texts]
     langs, scores = ["und"] * len(texts), [0.0] * len(texts)
     if model is None:
         return langs, scores
-    live = [i for i, w in enumerate(found) if w]
-    step: list[int] = []
-    size = 0
     most = 200_000 * 16 // max(16, len(model.labels) ** 2)  # words at once: transfer matrices grow with the square of labels
-    for i in [*live, -1]:
-        if i < 0 or size + len(found[i]) > most and step:
-            if step:
-                ids: dict[str, int] = {}
-                index = np.fromiter((ids.setdefault(w, len(ids)) for j in step for w in found[j]), np.int64, size)
-                lengths = np.array([len(found[j]) for j in step])
-                p = marginals(model.emissions(list(ids))[index], lengths, model.transitions)
-                sums = np.add.reduceat(p, np.concatenate([[0], np.cumsum(lengths)[:-1]]), axis=0)
-                best = sums.argmax(1)
-                for j, b, share in zip(step, best, sums[np.arange(len(step)), best] / lengths, strict=True):
-                    langs[j], scores[j] = model.labels[b], float(min(1.0, share))
-            step, size = [], 0
-        if i >= 0:
-            step.append(i)
-            size += len(found[i])
+    step: list[int] = []
+    lengths: list[int] = []
+    words: list[str] = []
+
+    def label() -> None:
+        ids: dict[str, int] = {}
+        index = np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.int64, len(words))
+        sizes = np.array(lengths)
+        p = marginals(model.emissions(list(ids))[index], sizes, model.transitions)
+        sums = np.add.reduceat(p, np.concatenate([[0], np.cumsum(sizes)[:-1]]), axis=0)
+        best = sums.argmax(1)
+        for j, k, share in zip(step, best, sums[np.arange(len(step)), best] / sizes, strict=True):
+            langs[j], scores[j] = model.labels[k], float(min(1.0, share))
+        for x in (step, lengths, words):
+            x.clear()
+
+    for i, t in enumerate(texts):
+        found = LETTERS.findall(t.lower()) if t else []
+        if not found:
+            continue
+        if step and len(words) + len(found) > most:
+            label()
+        step.append(i)
+        lengths.append(len(found))
+        words += found
+    if step:
+        label()
     return langs, scores
 
 
@@ -268,7 +277,7 @@ def language_id(docs: DataFrame, model: Model | None, id_col: str = "doc_id", te
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches, 1):
             langs, scores = label_batch(sent.value, b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["id", "lang_pred", "score"])
 
@@ -280,9 +289,7 @@ def keep_known(docs: DataFrame, model: Model | None, least: float = 0.4, text_co
     """The rows of docs whose language is recognised with a score of at least `least`; columns as they are."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("boolean")
-    def known(texts: pd.Series) -> pd.Series:
-        langs, scores = label_batch(sent.value, [None if t is None else str(t) for t in texts])
-        return pd.Series([a != "und" and s >= least for a, s in zip(langs, scores, strict=True)])
+    def known(texts: list[str | None]) -> list[bool]:
+        return [a != "und" and s >= least for a, s in zip(*label_batch(sent.value, texts), strict=True)]
 
-    return docs.filter(known(F.col(text_col).cast("string")))
+    return keep_rows(docs, text_col, known)

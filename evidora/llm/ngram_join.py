@@ -30,17 +30,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import WORD, WordIds, materialize, mixed, release, shingle_hashes, small_side
+from ._shared import WORD, WordIds, materialize, mixed, pieces, release, shingle_hashes, small_side
 
 
 def choose_bands(threshold: float, recall: float, most: int = 128) -> tuple[int, int]:
     """(bands, rows): the most rows whose bands, at most `most` hashes in all, find a pair at the threshold with the given probability; then as few bands as do."""
     best = None
     for rows in range(1, most + 1):
-        p = threshold**rows
-        bands = int(np.ceil(np.log(1 - recall) / np.log(1 - p))) if p < 1 else 1
-        if bands * rows <= most:
-            best = (max(1, bands), rows)
+        bands = 1 if threshold >= 1 else max(1, int(np.ceil(min(most + 1, np.log1p(-recall) / np.log1p(-(threshold**rows))))))
+        if bands * rows > most:
+            break
+        best = (bands, rows)
     if best is None:
         raise ValueError(f"no bands within {most} hashes reach a recall of {recall} at {threshold}")
     return best
@@ -99,18 +99,16 @@ def jaccard(x: np.ndarray, y: np.ndarray) -> float:
 
 def _nodes(rows: DataFrame, n: int, bands: int, per_band: int, kind: str) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for s in range(0, whole.num_rows, 1_000):
-                b = whole.slice(s, 1_000)
-                sets = shingle_sets(b.column(1).to_pylist(), n)
-                live = [i for i, x in enumerate(sets) if len(x)]
-                hashes = band_hashes(signatures([sets[i] for i in live], bands * per_band), bands, per_band).view(np.int64) if live else []
-                nodes: list[bytes | None] = [None] * len(sets)
-                each: list[np.ndarray | None] = [None] * len(sets)
-                for i, h in zip(live, hashes, strict=True):
-                    nodes[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest()
-                    each[i] = h
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.binary()), pa.array(each, pa.list_(pa.int64())), b.column(1)], names=["id", "node", "bands", "text"])
+        for b in pieces(batches, 1):
+            sets = shingle_sets(b.column(1).to_pylist(), n)
+            live = [i for i, x in enumerate(sets) if len(x)]
+            hashes = band_hashes(signatures([sets[i] for i in live], bands * per_band), bands, per_band).view(np.int64) if live else []
+            nodes: list[bytes | None] = [None] * len(sets)
+            each: list[np.ndarray | None] = [None] * len(sets)
+            for i, h in zip(live, hashes, strict=True):
+                nodes[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest()
+                each[i] = h
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.binary()), pa.array(each, pa.list_(pa.int64())), b.column(1)], names=["id", "node", "bands", "text"])
 
     return materialize(rows.mapInArrow(sign, f"id {kind}, node binary, bands array<long>, text string"), "signed")
 
