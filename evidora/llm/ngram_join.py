@@ -254,7 +254,7 @@ def similarity_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         if not total[0] or total[0] <= expand * total[1]:
             break
         chosen = F.min_by(F.struct("node", "label"), F.xxhash64("node", F.lit(turn))).alias("p")
-        pivots = state.groupBy("bucket").agg(chosen).select("bucket", F.col("p.node").alias("pivot"), F.col("p.label").alias("to"))
+        pivots = materialize(state.groupBy("bucket").agg(chosen).select("bucket", F.col("p.node").alias("pivot"), F.col("p.label").alias("to")), "pivots")
     more = _in_blocks(state, texts, n, limit)
     links = materialize(known.filter(F.col("d") <= limit).unionByName(more), "links")
     release(each, shared)
