@@ -29,7 +29,7 @@ from pyspark.sql import Window as W
 from ._shared import small_side
 
 NULL = "\x00null"
-ROWS_PER_BUCKET = 20_000
+ROWS_PER_BUCKET = 1_000
 
 
 def period_weights(weights: Mapping[str, float], period: int) -> dict[str, int]:
@@ -111,10 +111,12 @@ def placed(docs: DataFrame, weights: Mapping[str, float] | None = None, power: f
     )
     totals = rows.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("chars")).collect()  # as many as sources
     names = {r["source"]: r for r in totals}
-    n_rows = sum(r["n"] for r in totals)
-    n_buckets = max(1, -(-n_rows // ROWS_PER_BUCKET))
-    bucket = F.floor(F.pmod(F.col("ord"), F.lit(1 << 40)) * F.lit(n_buckets) / F.lit(1 << 40)).cast("long")
-    rows = rows.withColumn("bucket", bucket)
+    spark = docs.sparkSession
+    sizes = [(s, -(-r["n"] // ROWS_PER_BUCKET)) for s, r in names.items()]
+    n_buckets = sum(n for _, n in sizes)
+    rows = rows.join(small_side(spark.createDataFrame(sizes, "source string, buckets long"), len(sizes)), "source")
+    bucket = F.floor(F.pmod(F.col("ord"), F.lit(1 << 40)) * F.col("buckets") / F.lit(1 << 40)).cast("long")
+    rows = rows.withColumn("bucket", bucket).drop("buckets")
     if weights is None:
         given = {s: float(max(1, r["chars"])) ** power for s, r in names.items()}
     else:
@@ -125,11 +127,10 @@ def placed(docs: DataFrame, weights: Mapping[str, float] | None = None, power: f
     sums = sums.select("source", "bucket", F.coalesce(F.sum("in_bucket").over(over), F.lit(0)).alias("offset"))
     inner = W.partitionBy("source", "bucket").orderBy("ord", "id").rowsBetween(W.unboundedPreceding, -1)
     rows = rows.withColumn("within", F.coalesce(F.sum("size").over(inner), F.lit(0)))
-    rows = rows.join(small_side(sums, len(names) * n_buckets), ["source", "bucket"])
+    rows = rows.join(small_side(sums, n_buckets), ["source", "bucket"])
     rows = rows.withColumn("block", F.floor((F.col("offset") + F.col("within")) / F.lit(block_chars)).cast("long"))
     blocks = {s: r["chars"] // block_chars + 1 for s, r in names.items()}  # a document of length 0 may begin at the very end
     plan = phases(blocks, given, period)
-    spark = docs.sparkSession
     table = spark.createDataFrame([(p["source"], p["first"], p["stop"], p["base"], p["share"], p["period"], p["offsets"]) for p in plan], "p_source string, first long, stop long, base long, share long, period long, offsets array<int>")
     hit = (F.col("source") == F.col("p_source")) & (F.col("block") >= F.col("first")) & (F.col("block") < F.col("stop"))
     out = rows.join(small_side(table, len(plan)), hit)
