@@ -218,7 +218,7 @@ def _search(index: Index, ids: np.ndarray, lengths: np.ndarray, w: int, threshol
 
 def build_shards(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> list[Index]:
     """Indexes of all items, of at most SHARD items each; statistics are those of all items."""
-    rows = items.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter(F.col("text").isNotNull()).dropDuplicates()
+    rows = items.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter(F.col("text").isNotNull()).dropDuplicates()
 
     @F.pandas_udf("array<string>")
     def cut(texts: pd.Series) -> pd.Series:

@@ -241,7 +241,7 @@ def label_batch(model: Model | None, texts: list[str | None]) -> tuple[list[str]
 
     for i, t in enumerate(texts):
         found = LETTERS.findall(t.lower()) if t else []
-        if not found:
+        if not found or not any(map(str.isalpha, t)):  # signs such as superscript digits are no letters
             continue
         if step and len(words) + len(found) > most:
             label()

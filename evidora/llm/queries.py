@@ -15,7 +15,7 @@ from .line_dedup import line_dedup
 from .lm_scoring import lm_scoring
 from .ngram_join import ngram_join
 from .secret_scan import secret_scan
-from .sharding import ShardStore, shard
+from .sharding import ShardStore, free_name, shard
 from .source_mixing import source_mixing
 from .token_packing import token_packing
 
@@ -71,7 +71,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shard(store, [docs.filter(part == i) for i in range(4)])
     if out is None:
         return docs.select("doc_id", F.lit("").alias("shard"), F.lit(0).alias("tier"), F.lit(0).cast("long").alias("version")).limit(0)
-    return out.select("doc_id", F.col("_shard").alias("shard"), F.col("_tier").alias("tier"), F.lit(store.manifest()["version"]).cast("long").alias("version"))
+    return out.select("doc_id", F.col(free_name("shard", docs.columns)).alias("shard"), F.col(free_name("tier", docs.columns)).alias("tier"), F.lit(store.manifest()["version"]).cast("long").alias("version"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

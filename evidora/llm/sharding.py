@@ -66,14 +66,15 @@ class ShardStore:
         return self.spark.read.schema(ENTRY).parquet(m["entries"]) if m["entries"] else self.spark.createDataFrame([], ENTRY)
 
     def read(self, version: int | None = None) -> DataFrame | None:
-        """All rows of a version, with the columns _shard and _tier; None for a store without files."""
+        """All rows of a version, with `shard` (the file of a row) and `tier` (numbered if the rows have such columns); None for a store without files."""
         found = [(r["path"], r["tier"]) for r in self.entries(version).select("path", "tier").collect()]
         if not found:
             return None
         rows = self.spark.read.parquet(*(p for p, _ in found))
+        shard, tier = free_name("shard", rows.columns), free_name("tier", rows.columns)
         path = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
-        tiers = self.entries(version).select(F.element_at(F.split("path", "/"), -1).alias("_shard"), F.col("tier").alias("_tier"))
-        return rows.withColumn("_shard", path).join(F.broadcast(tiers) if len(found) <= 100_000 else tiers, "_shard")
+        tiers = self.entries(version).select(F.element_at(F.split("path", "/"), -1).alias(shard), F.col("tier").alias(tier))
+        return rows.withColumn(shard, path).join(F.broadcast(tiers) if len(found) <= 100_000 else tiers, shard).select(*rows.columns, shard, tier)
 
     def _write(self, df: DataFrame) -> DataFrame:
         """Write files and describe them."""
@@ -179,6 +180,15 @@ class ShardStore:
         self.vacuum()
 
 
+def free_name(name: str, columns: list[str]) -> str:
+    """The name, or the first of name_1, name_2 and so on that no column has."""
+    taken, n, out = {c.lower() for c in columns}, 0, name
+    while out.lower() in taken:
+        n += 1
+        out = f"{name}_{n}"
+    return out
+
+
 def shard(store: ShardStore, arrivals: list[DataFrame], rounds: int = 8) -> DataFrame | None:
     """Append arrivals one after the other, compacting after each as tiers fill; the rows of the last version."""
     for a in arrivals:

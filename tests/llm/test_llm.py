@@ -450,6 +450,7 @@ def test_language_id(spark, odd, empty):
     assert li.learn(empty) is None and li.language_id(empty, None).count() == 0
     assert {x["lang_pred"] for x in li.language_id(odd, None).collect()} == {"und"}
     assert li.keep_known(docs, model).count() == 300
+    assert li.label_batch(model, ["\u00b2\u00b3 12", None, "_"])[0] == ["und"] * 3
 
 
 # ---------------------------------------------------------------- 9
@@ -481,9 +482,10 @@ def test_secrets(spark, empty):
 def test_shards(spark, tmp_path, empty):
     store = sh.ShardStore(spark, str(tmp_path / "s"), target_bytes=60_000, fanout=3, min_bytes=1_000)
     rows = corpus(7, 120) + ODD
-    docs = frame(spark, rows)
+    docs = frame(spark, rows).withColumn("shard", F.lit("clash")).withColumn("Tier", F.lit(1))
     parts = [docs.filter(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(4)) == i).repartition(3) for i in range(4)]
-    out = sh.shard(store, [*parts, empty])
+    out = sh.shard(store, [*parts, docs.limit(0)])
+    assert out.columns[-2:] == ["shard_1", "tier_1"]
     assert Counter(map(tuple, out.select(docs.columns).collect())) == Counter(map(tuple, docs.collect()))
     entries = store.entries().collect()
     assert sum(e["rows"] for e in entries) == len(rows) == store.manifest()["rows"]
