@@ -42,8 +42,29 @@ def _number(x: float) -> str:
     return sign + out
 
 
+def _simple(value: Any) -> bool:
+    """Whether the standard writer gives the canonical text: no floats, member names and strings without surrogates, names in ASCII."""
+    kind = type(value)
+    if kind is str:
+        return value.isascii()
+    if kind is int:
+        return -SAFE <= value <= SAFE
+    if kind is list:
+        return all(map(_simple, value))
+    if kind is dict:
+        return all(type(k) is str and k.isascii() for k in value) and all(map(_simple, value.values()))
+    return value is None or kind is bool
+
+
+_write = json.JSONEncoder(ensure_ascii=False, sort_keys=True, separators=(",", ":")).encode
+
+
 def canonical(value: Any) -> str:
     """RFC 8785 text of a JSON value: members by UTF-16 code units, no space, shortest numbers."""
+    return _write(value) if _simple(value) else _canonical(value)
+
+
+def _canonical(value: Any) -> str:
     if value is None or value is True or value is False:
         return {None: "null", True: "true", False: "false"}[value]
     if isinstance(value, str):
@@ -51,7 +72,7 @@ def canonical(value: Any) -> str:
             value.encode("utf-8")
         except UnicodeEncodeError as e:
             raise NotCanonical("a string holds a lone surrogate") from e
-        return json.dumps(value, ensure_ascii=False).replace("\x7f", "\x7f")
+        return json.dumps(value, ensure_ascii=False)
     if isinstance(value, int):
         if abs(value) > SAFE:
             raise NotCanonical("an integer is out of range")
@@ -59,11 +80,11 @@ def canonical(value: Any) -> str:
     if isinstance(value, float):
         return _number(value)
     if isinstance(value, (list, tuple)):
-        return "[" + ",".join(map(canonical, value)) + "]"
+        return "[" + ",".join(map(_canonical, value)) + "]"
     if isinstance(value, dict):
         if not all(isinstance(k, str) for k in value):
             raise NotCanonical("a member name must be a string")
-        return "{" + ",".join(f"{canonical(k)}:{canonical(value[k])}" for k in sorted(value, key=lambda k: k.encode("utf-16-be", "surrogatepass"))) + "}"
+        return "{" + ",".join(f"{_canonical(k)}:{_canonical(value[k])}" for k in sorted(value, key=lambda k: k.encode("utf-16-be", "surrogatepass"))) + "}"
     raise NotCanonical(f"{type(value).__name__} is no JSON value")
 
 

@@ -187,12 +187,13 @@ class Vocabulary:
 
 
 _NEGATED = regex.compile(rf"(?<![{LN}])(?:not|cannot|can['’]t)(?:\s+be)?\s+$")
+_SPACES, _SOLID = regex.compile(r"\s*"), regex.compile(r"\S*")
 _BREAK = regex.compile(r"[.;](?=\s)|•|\n[ \t\r]*\n")
 _TO_NEXT = regex.compile(r"(?:\s*(?P<word>[^\s\d]{1,12}))?(?P<gap>\s*)(?P<c>to|through|thru|and|[-–])\s*[^\s]{0,4}?\s*")
 _BETWEEN = regex.compile(rf"(?<![{LN}])between(?![{LN}])")
 _SIX = regex.compile(r"(?:\s+\p{L}[\p{L}\p{M}]*){0,6}\s+")
 _FROM = regex.compile(rf"(?<![{LN}])from(?![{LN}])\s*\S{{0,4}}\s*$")
-_CHANGE = regex.compile(rf"(?<![{LN}])(?:{'|'.join(CHANGE_WORDS)})(?![{LN}])((?:\s+\p{{L}}(?:[\p{{L}}'’-]*\p{{L}})?){{0,6}})\s+$")
+_CHANGE = regex.compile(rf"(?<![{LN}])(?:{'|'.join(CHANGE_WORDS)})(?![{LN}])((?:\s+\p{{L}}(?:[\p{{L}}'’-]*\p{{L}})?){{0,6}})\s+(?=from)")
 
 
 BASE = Vocabulary()
@@ -236,14 +237,14 @@ class Text:
         m = self.vocabulary.abbreviation.search(self.folded, max(0, at - self.vocabulary.longest_abbreviation - 1), at + 1)
         if not m:
             return False
-        gap = regex.compile(r"\s*").match(self.text, end)
+        gap = _SPACES.match(self.text, end)
         if gap[0].count("\n") > 1:
             return False
         rest = self.text[gap.end() : gap.end() + 1]
         if rest and (rest.islower() or rest.isdigit() or rest in CURRENCY_SIGNS) or m[0] == "u.s.":
             return True
         if m[0] in ("no.", "nos."):
-            word = regex.compile(r"\S*").match(self.text, gap.end())[0]
+            word = _SOLID.match(self.text, gap.end())[0]
             return any(c.isdigit() for c in word) or bool(regex.match("[A-Z]{2}", word))
         return False
 
@@ -343,7 +344,7 @@ class Text:
         m = _FROM.search(self.folded, low, a.start)
         if not m:
             return False
-        for x in regex.finditer(_CHANGE.pattern.replace(r"\s+$", r"\s+(?=from)"), self.folded[low : m.start() + 4]):
+        for x in _CHANGE.finditer(self.folded[low : m.start() + 4]):
             if low + x.end() != m.start():
                 continue
             words = x[1].split()
@@ -359,9 +360,18 @@ class Text:
         parts = quote.split()
         if not parts:
             return []
+        if len(parts) == 1:
+            return self._plain_occurrences(parts[0], start, len(self.text) if end is None else end)
         pattern = regex.compile(r"\s+".join(map(regex.escape, parts)))
         return [m.span() for m in pattern.finditer(self.text, start, len(self.text) if end is None else end)]
 
+    def _plain_occurrences(self, word: str, start: int, end: int) -> list[tuple[int, int]]:
+        out, at = [], self.text.find(word, start, end)
+        while at >= 0:
+            out.append((at, at + len(word)))
+            at = self.text.find(word, at + len(word), end)
+        return out
+
     @cached_property
     def _bytes(self) -> list[int] | None:
         """Byte offset of each code point, or None for ASCII."""

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..kernel.gate import FLAG_ORDER, INFO_ORDER
 from ..kernel.schema import Policy, Schema
+from ..tables import materialize
 from . import sets
 
 #: Candidates that one call of the text rules takes.
@@ -236,8 +237,12 @@ def coverage(packets: DataFrame, rows: DataFrame, schema: dict[str, Any], id_col
 
 
 def admit(packets: DataFrame, schema: dict[str, Any], policy: dict[str, Any] | None = None, judgments: DataFrame | None = None, packs: tuple[dict[str, Any], ...] = (), **options: Any) -> DataFrame:
-    """Decisions of all candidates of all documents, with every flag."""
-    rows = decisions(packets, schema, policy, packs=packs, **options)
+    """Decisions of all candidates of all documents, with every flag.
+
+    The text rules run here, once: their decisions are written to the shared folder, and the checks between candidates, which
+    read them several times, start from there.
+    """
+    rows = materialize(decisions(packets, schema, policy, packs=packs, **options), "decisions")
     if judgments is not None:
         bad = invalid_judgments(rows, judgments).withColumn("_bad", F.lit("its judgments name no one candidate"))
         rows = rows.join(bad, "doc_id", "left").withColumn("packet_error", F.coalesce("packet_error", "_bad")).drop("_bad")
