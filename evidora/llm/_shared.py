@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import re
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship as ship
+from ..tables import materialize as materialize
+from ..tables import new_path as new_path
+from ..tables import release as release
 
 WORD = re.compile(r"\w+")
 
@@ -24,42 +23,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a fresh one where that is unset (tests, local mode)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="evidora-shared-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def new_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/evidora-{what}-{uuid.uuid4().hex}"
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def materialize(df: DataFrame, what: str = "table") -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends here, and what is read survives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, what)
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._evidora_path = path
-    return out
-
-
-def release(*tables: DataFrame) -> None:
-    """Delete tables made by materialize() that no later plan reads."""
-    for t in tables:
-        drop_path(t.sparkSession, t._evidora_path)
-
-
 def pieces(batches: Iterator[pa.RecordBatch], column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that the texts of a piece have about `most` bytes together; a longer text is a piece of its own."""
     for b in batches:
