@@ -33,8 +33,8 @@ def main(argv: list[str] | None = None) -> int:
     a = verbs.add_parser("read", help="files of a folder to texts and nodes")
     a.add_argument("folder")
     a.add_argument("out")
-    a = verbs.add_parser("schema", help="check a schema, or print the schema of an extractor's reply")
-    a.add_argument("action", choices=["check", "extractor", "candidate"])
+    a = verbs.add_parser("schema", help="check or lint a schema, or print the schema of an extractor's reply")
+    a.add_argument("action", choices=["check", "lint", "extractor", "candidate"])
     a.add_argument("schema", nargs="?")
     a = verbs.add_parser("admit", help="decide packets (doc_id, text, candidates); write decisions, receipts and a summary")
     for n in ("packets", "schema", "out"):
@@ -72,6 +72,11 @@ def main(argv: list[str] | None = None) -> int:
         try:
             if args.action == "check":
                 print(Schema.of(_json(args.schema)).sha256)
+            elif args.action == "lint":
+                from .kernel.lint import lint
+
+                for code, field, what in lint(_json(args.schema)):
+                    print(field, code, what)
             else:
                 print(json.dumps(api.candidate_schema() if args.action == "candidate" else api.extractor_schema(_json(args.schema)), indent=1))
         except PacketError as e:
