@@ -10,6 +10,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_made: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a fresh one where that is unset (tests, local mode)."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
@@ -37,6 +40,7 @@ def materialize(df: DataFrame, what: str = "table") -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._evidora_path = path
+    _made.append(path)
     return out
 
 
@@ -44,3 +48,11 @@ def release(*tables: DataFrame) -> None:
     """Delete tables made by materialize() that no later plan reads."""
     for t in tables:
         drop_path(t.sparkSession, t._evidora_path)
+        if t._evidora_path in _made:
+            _made.remove(t._evidora_path)
+
+
+def release_all(spark: SparkSession) -> None:
+    """Delete every table that materialize() has made and that is still there: when no result is read any more."""
+    while _made:
+        drop_path(spark, _made.pop())
