@@ -90,18 +90,18 @@ def admitted_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("user_id").agg(F.count_distinct(F.struct("event_type", F.floor("value"))).alias("items"))
 
 
-@query("SELECT p_partkey, list_sort(list_filter(['small', 'red', 'blue', 'ring'], lambda w: contains(p_name, w))) AS marks FROM part")
+@query("SELECT p_partkey, array_to_string(list_sort(list_filter(['small', 'red', 'blue', 'ring'], lambda w: contains(p_name, w))), ',') AS marks FROM part")
 def pack_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which words of a list occur in each text."""
     words = F.array(*(F.lit(w) for w in ("small", "red", "blue", "ring")))
-    return table(spark, sf_dir, "part").select("p_partkey", F.array_sort(F.filter(words, lambda w: F.contains(F.col("p_name"), w))).alias("marks"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(F.array_sort(F.filter(words, lambda w: F.contains(F.col("p_name"), w))), ",").alias("marks"))
 
 
-@query("SELECT p_brand, list_sort(list(DISTINCT p_type) FILTER (p_type NOT IN ('ECONOMY', 'SMALL'))) AS added FROM part GROUP BY 1")
+@query("SELECT p_brand, array_to_string(list_sort(list(DISTINCT p_type) FILTER (p_type NOT IN ('ECONOMY', 'SMALL'))), ',') AS added FROM part GROUP BY 1")
 def added_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each pack that the base list does not have."""
     words = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.collect_set("p_type").alias("w"))
-    return words.select("p_brand", F.array_sort(F.array_except("w", F.array(F.lit("ECONOMY"), F.lit("SMALL")))).alias("added"))
+    return words.select("p_brand", F.array_join(F.array_sort(F.array_except("w", F.array(F.lit("ECONOMY"), F.lit("SMALL")))), ",").alias("added"))
 
 
 @query("""
@@ -228,7 +228,7 @@ def structure_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH n AS (SELECT l_orderkey AS k, l_linenumber AS id, l_linenumber AS s, l_linenumber + CAST(l_quantity AS BIGINT) AS e FROM lineitem)
-SELECT o_orderkey AS k, coalesce((SELECT max(s * 100 + id) % 100 FROM n WHERE n.k = o_orderkey AND n.s <= 5 AND 5 < n.e), -1) AS node FROM orders
+SELECT o_orderkey AS k, CAST(coalesce((SELECT max(s * 100 + id) % 100 FROM n WHERE n.k = o_orderkey AND n.s <= 5 AND 5 < n.e), -1) AS BIGINT) AS node FROM orders
 """)
 def innermost_node(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sources.markup import innermost
