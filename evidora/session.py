@@ -21,13 +21,17 @@ def session(app: str = "evidora", **conf: str) -> SparkSession:
 
 #: Rows of an Arrow batch where the session leaves Spark's default: texts of any length stay a few megabytes a batch.
 ARROW_ROWS = "1000"
+#: Bytes of a Parquet row group where the session leaves the default of 128 MB, all of which a task holds while it writes.
+ROW_GROUP = str(32 << 20)
 
 
 def ship(spark: SparkSession) -> None:
-    """Make a session ready: this package goes to the executors' Python workers, once for each context; Arrow batches are small."""
+    """Make a session ready: this package goes to the executors' Python workers, once for each context; Arrow batches and Parquet row groups are small."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(name) == "10000":
         spark.conf.set(name, ARROW_ROWS)
+    if spark.conf.get("parquet.block.size", None) is None:
+        spark.conf.set("parquet.block.size", ROW_GROUP)
     sc = spark.sparkContext
     if getattr(sc, "_evidora_shipped", False):
         return
