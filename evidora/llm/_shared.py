@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 from collections.abc import Callable, Iterator
 
@@ -33,7 +34,16 @@ def pieces(batches: Iterator[pa.RecordBatch], column: int, most: int = 4 << 20)
             stop = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
             yield b.slice(at, stop - at)
             at = stop
+    give_back()
+
+
+def give_back() -> None:
+    """Return what a task no longer holds to the system: Python workers live on, and so would the most that each has held."""
     pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def keep_rows(docs: DataFrame, text_col: str, keep: Callable[[list[str | None]], list[bool]]) -> DataFrame:
