@@ -12,9 +12,11 @@ other, is decided. While the pairs left are more than `expand` times the rows of
 taken, for `rounds` rounds at most; then every pair left is verified, a bucket being dealt out as a grid of blocks
 of bounded size. So no candidate pair is dropped: it is connected by other links or verified.
 
+Those links form the classes. Each link lies within a class, so n_links comes from a second pass, in which all pairs of
+a class are verified in a grid of blocks; a class whose buckets hold fewer pairs than itself is verified by bucket.
+
 Result: each row's class (the least id of its connected component of links), its copies, and n_links, the
-number of verified links of its text that the join holds (copies and pairs that other links connect need no link
-of their own).
+number of other nodes within the threshold of its own (copies are no links).
 
 Defined results: null, empty and wordless texts are alone in a class of their own id; ids that are null stay
 null but their text takes part; repeated rows are copies and each get a row.
@@ -131,6 +133,25 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
     return materialize(joined.mapInArrow(compare, "a binary, b binary, d double"), "verified")
 
 
+def _distances(sets: list[np.ndarray]) -> np.ndarray:
+    """The Jaccard distances of all pairs of sets."""
+    size = np.array([len(x) for x in sets])
+    flat = np.concatenate(sets)
+    who = np.repeat(np.arange(len(sets)), size)
+    _, at, k = np.unique(flat, return_inverse=True, return_counts=True)
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    shared = np.flatnonzero(k > 1)
+    to = np.full(len(k), -1)
+    to[shared] = np.arange(len(shared))
+    col = to[at]
+    for s in range(0, len(shared), 8_192):
+        on = (col >= s) & (col < s + 8_192)
+        m = np.zeros((len(sets), min(8_192, len(shared) - s)), np.float32)
+        m[who[on], col[on] - s] = 1
+        both += m @ m.T
+    return 1 - both / (size[:, None] + size[None, :] - both)
+
+
 #: Nodes of a block in which pairs of a bucket are verified.
 BLOCK = 256
 
@@ -150,22 +171,7 @@ def _in_blocks(state: DataFrame, texts: DataFrame, n: int, limit: float) -> Data
         bucket, lo, hi = key
         if len({r["label"] for r in part}) < 2:
             return []
-        sets = shingle_sets([r["text"] for r in part], n)
-        size = np.array([len(x) for x in sets])
-        flat = np.concatenate(sets)
-        who = np.repeat(np.arange(len(part)), size)
-        _, at, k = np.unique(flat, return_inverse=True, return_counts=True)
-        both = np.zeros((len(part), len(part)), np.float32)
-        shared = np.flatnonzero(k > 1)
-        to = np.full(len(k), -1)
-        to[shared] = np.arange(len(shared))
-        col = to[at]
-        for s in range(0, len(shared), 8_192):
-            on = (col >= s) & (col < s + 8_192)
-            m = np.zeros((len(part), min(8_192, len(shared) - s)), np.float32)
-            m[who[on], col[on] - s] = 1
-            both += m @ m.T
-        d = 1 - both / (size[:, None] + size[None, :] - both)
+        d = _distances(shingle_sets([r["text"] for r in part], n))
         block = np.array([r["own"] for r in part])
         fits = np.triu(d <= limit, 1) & ((block[:, None] != block[None, :]) if lo != hi else True)
         out = []
@@ -197,6 +203,74 @@ def _in_blocks(state: DataFrame, texts: DataFrame, n: int, limit: float) -> Data
     return rows.mapInArrow(verify, "a binary, b binary, d double").distinct()
 
 
+#: Nodes and characters of a block in which the links of a class are counted.
+COUNT_BLOCK, COUNT_CHARS = 512, 4 << 20
+
+
+def link_counts(texts: DataFrame, roots: DataFrame, n: int, limit: float) -> DataFrame:
+    """(node, n_links): the nodes within the limit of each node; texts: (node, text, bands), roots: (node, root) of components.
+
+    A group is a component, or one of its buckets where these hold fewer pairs; then a pair is counted in the least bucket that it shares.
+    """
+    members = materialize(texts.join(roots, "node").select("node", "root", "bands", F.length("text").cast("long").alias("chars")), "classed")
+    size = members.groupBy("root").agg(F.count("*").alias("n"))
+    large = materialize(size.filter(F.col("n") > COUNT_BLOCK), "large")
+    in_bands = members.join(small_side(large), "root").select("root", "n", "node", "chars", "bands", F.explode("bands").alias("bucket"))
+    by_band = in_bands.groupBy("root", "n", "bucket").agg(F.count("*").alias("k"))
+    split = by_band.groupBy("root", "n").agg(F.sum(F.col("k") * F.col("k")).alias("pairs")).filter(F.col("pairs") < F.col("n") * F.col("n"))
+    split = materialize(split.select("root"), "split")
+    parted = small_side(split)
+    whole = members.join(parted, "root", "left_anti").select("root", F.lit(0).cast("long").alias("bucket"), "node", "chars", F.lit(None).cast("array<long>").alias("bands"))
+    some = in_bands.join(parted, "root", "left_semi").select("root", "bucket", "node", "chars", "bands")
+    groups = materialize(whole.unionByName(some), "groups")
+    cells = F.greatest(F.lit(1), F.ceil(F.count("*") / COUNT_BLOCK), F.ceil(F.sum("chars") / COUNT_CHARS)).cast("int")
+    grid = materialize(groups.groupBy("root", "bucket").agg(F.count("*").alias("n"), cells.alias("cells")).filter("n > 1").drop("n"), "grid")
+    rows = groups.join(small_side(grid), ["root", "bucket"]).withColumn("own", F.pmod(F.xxhash64("node", "bucket"), F.col("cells")).cast("int"))
+    rows = rows.join(texts.select("node", "text"), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
+    rows = rows.select("root", "bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "bands", "text")
+    rows = rows.repartition("root", "bucket", "lo", "hi").sortWithinPartitions("root", "bucket", "lo", "hi")
+
+    def cell(key: tuple[bytes, int, int, int], part: list[dict]) -> tuple[list[bytes], np.ndarray]:
+        _, bucket, lo, hi = key
+        sets = shingle_sets([r["text"] for r in part], n)
+        own = np.array([r["own"] for r in part])
+        fits = _distances(sets) <= limit
+        np.fill_diagonal(fits, False)
+        if lo != hi:
+            fits &= own[:, None] != own[None, :]
+        if part[0]["bands"] is not None:
+            bands = np.array([r["bands"] for r in part])
+            least = np.full(fits.shape, np.iinfo(np.int64).max)
+            for x in bands.T:
+                np.minimum(least, x[:, None], out=least, where=x[:, None] == x[None, :])
+            fits &= least == bucket
+        return [r["node"] for r in part], fits.sum(axis=1)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, part = None, []
+
+        def out() -> pa.RecordBatch:
+            nodes, found = cell(key, part) if len(part) > 1 else ([], np.empty(0, np.int64))
+            return pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(found, pa.int64())], names=["node", "n_links"])
+
+        for whole in batches:
+            for s in range(0, whole.num_rows, 100):
+                for r in whole.slice(s, 100).to_pylist():
+                    k = (r["root"], r["bucket"], r["lo"], r["hi"])
+                    if k != key:
+                        if part:
+                            yield out()
+                        key, part = k, []
+                    part.append(r)
+        if part:
+            yield out()
+
+    counts = materialize(rows.mapInArrow(count, "node binary, n_links long").groupBy("node").agg(F.sum("n_links").alias("n_links")), "counts")
+    release(members, large, split)
+    release(groups, grid)
+    return counts
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of every node of the undirected links (a, b): root is the least node of its component.
 
@@ -219,8 +293,15 @@ def components(links: DataFrame) -> DataFrame:
             return out
 
 
-def similarity_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, n: int = 5, recall: float = 0.9995, expand: float = 4.0, rounds: int = 2) -> tuple[DataFrame, DataFrame]:
-    """(signed, links): rows (id, node, bands, text) as many as docs has, and pairs (a, b, d) of nodes within the threshold."""
+def similarity_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> tuple[DataFrame, DataFrame]:
+    """(signed, links): rows (id, node, bands, text) as many as docs has, and pairs (a, b, d) of nodes within the threshold, enough for the classes."""
+    signed, links, texts = _linked(docs, id_col, text_col, **options)
+    release(texts)
+    return signed, links
+
+
+def _linked(docs: DataFrame, id_col: str, text_col: str, threshold: float = 0.8, n: int = 5, recall: float = 0.9995, expand: float = 4.0, rounds: int = 2) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """similarity_links() and the texts (node, text, bands) of all nodes that share a bucket."""
     bands, per_band = choose_bands(threshold, recall)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
@@ -258,25 +339,29 @@ def similarity_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     more = _in_blocks(state, texts, n, limit)
     links = materialize(known.filter(F.col("d") <= limit).unionByName(more), "links")
     release(each, shared)
-    release(texts, state)
-    return signed, links
+    release(state)
+    return signed, links, texts
 
 
-def _classes(signed: DataFrame, links: DataFrame) -> DataFrame:
-    """(node, class_id, n_copies, n_links) of every node."""
+def _classes(signed: DataFrame, links: DataFrame, texts: DataFrame | None = None, n: int = 5, limit: float = 0.0) -> DataFrame:
+    """(node, class_id, n_copies, n_links) of every node; n_links of all pairs within the limit if texts are given, else of the links given."""
     own = signed.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("id").alias("least"), F.count("*").alias("n_copies"))
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     found = components(links)
+    if texts is None:
+        degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    else:
+        degree = link_counts(texts, found, n, limit)
+        release(texts)
     own = own.join(found, "node", "left").join(degree, "node", "left").withColumn("root", F.coalesce("root", "node"))
     own = materialize(own, "own")
     least = own.groupBy("root").agg(F.min("least").alias("class_id"))
     return materialize(own.join(least, "root").select("node", "class_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links")), "classes")
 
 
-def ngram_join(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, n: int = 5, **options) -> DataFrame:
     """Rows (id_col, class_id, n_copies, n_links), one for each input row. n_copies: rows with the same shingles, the row itself among them."""
-    signed, links = similarity_links(docs, id_col, **options)
-    out = signed.select("id", "node").join(_classes(signed, links), "node", "left")
+    signed, links, texts = _linked(docs, id_col, text_col, threshold, n, **options)
+    out = signed.select("id", "node").join(_classes(signed, links, texts, n, 1 - threshold + 1e-9), "node", "left")
     alone = F.col("node").isNull()
     return out.select(F.col("id").alias(id_col), F.when(alone, F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 

@@ -260,6 +260,31 @@ def test_ngram_join_in_blocks(spark, monkeypatch, rounds):
     assert got == brute_classes(rows)
 
 
+def brute_links(rows, threshold=0.8):
+    sets = {i: shingles(t) for i, t in rows}
+    return {i: sum(1 for j, y in sets.items() if y != x and len(x & y) >= threshold * len(x | y)) for i, x in sets.items()}
+
+
+@pytest.mark.parametrize("block", [7, 512])
+def test_ngram_join_counts_every_link(spark, monkeypatch, block):
+    """Pairs within a class count too: three texts alike, a large group of near copies and a chain of texts."""
+    monkeypatch.setattr(nj, "COUNT_BLOCK", block)
+    r = random.Random(6)
+    rows = []
+    for first, many in ((0, 3), (100, 60)):
+        w = prose(r, 200).split()
+        for i in range(many):
+            x = list(w)
+            if i:
+                x[r.randrange(len(x))] = f"changed{i}"
+            rows.append((first + i, " ".join(x)))
+    w = [f"w{i}" for i in range(1100)]
+    rows += [(1000 + i, " ".join(w[5 * i : 5 * i + 100])) for i in range(200)]
+    out = nj.ngram_join(frame(spark, rows)).collect()
+    assert {x["doc_id"]: x["n_links"] for x in out} == brute_links(rows)
+    assert Counter((x["doc_id"], x["class_id"]) for x in out) == brute_classes(rows)
+
+
 def test_one_of_each(spark):
     rows = corpus(2) + ODD
     docs = frame(spark, rows)
