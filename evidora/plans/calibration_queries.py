@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import calibration, review
+from ..operators.windows import latest
 from .registry import query, table
 
 THRESHOLDS = (0.5, 0.6, 0.7, 0.8, 0.9)
@@ -118,6 +119,18 @@ def blind_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.reviewer_pairs(rows, ["slot"], "doc_id", "quality")
 
 
+@query("""
+WITH r AS (SELECT conv_id AS slot, role, length(text) % 3 AS answer FROM (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn DESC, text DESC) AS k FROM conversations) WHERE k = 1)
+SELECT a.slot, a.role AS first, b.role AS second, a.answer = b.answer AS same FROM r a JOIN r b ON a.slot = b.slot AND a.role < b.role
+""")
+def blind_pairs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of the reviewers (roles) of each slot (conversation), by their latest answers, over the whole table."""
+    answers = latest(table(spark, sf_dir, "conversations"), ["conv_id", "role"], ["turn", "text"])
+    rows = answers.select(F.col("conv_id").alias("slot"), "role", (F.length("text") % 3).alias("answer"))
+    return review.reviewer_pairs(rows, ["slot"], "role", "answer")
+
+
 @query("""
 WITH t AS (SELECT DISTINCT conv_id FROM conversations WHERE role = 'user'), a AS (SELECT DISTINCT conv_id FROM conversations WHERE role = 'assistant' AND turn >= 3)
 SELECT conv_id FROM t WHERE conv_id NOT IN (SELECT conv_id FROM a)
