@@ -93,6 +93,23 @@ def route_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("route", F.coalesce("lang", F.lit("-"))).drop("lang")
 
 
+@query("""
+WITH d AS (SELECT doc_id, lang, CASE WHEN n_chars > 1000 THEN 1 ELSE 0 END AS value FROM documents)
+SELECT coalesce(d.lang, '-') AS route,
+       count(*) FILTER (l.doc_id IS NOT NULL AND d.doc_id IS NOT NULL) AS scored,
+       count(*) FILTER (l.doc_id IS NOT NULL AND d.doc_id IS NOT NULL AND quality IS NOT DISTINCT FROM value) AS "right",
+       count(*) FILTER (l.doc_id IS NOT NULL AND d.doc_id IS NOT NULL AND quality IS DISTINCT FROM value) AS wrong,
+       count(*) FILTER (d.doc_id IS NULL) AS missed, count(*) FILTER (l.doc_id IS NULL) AS unscored
+FROM labels l FULL OUTER JOIN d ON l.doc_id = d.doc_id GROUP BY 1
+""")
+def route_score_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every label against every document: missed are labels that have no document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.when(F.col("n_chars") > 1000, 1).otherwise(0).alias("value"))
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    out = calibration.route_score(labels, docs, ["doc_id"], ["lang"], "quality", "value")
+    return out.withColumn("route", F.coalesce("lang", F.lit("-"))).drop("lang")
+
+
 @query("""
 SELECT event_type, count(*) AS total, count(*) FILTER (value < 10) AS wrong, ceil(100.0 * count(*) FILTER (value < 10) / count(*)) / 100.0 AS share FROM events GROUP BY 1
 """)

@@ -163,6 +163,15 @@ def audit_escapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.escapes(s.select("doc_id", F.col("quality").alias("settled")), s.select("doc_id", F.col("toxic").alias("made")), ["doc_id"], "settled", "made")
 
 
+@query("""
+SELECT count(*) AS audited, CAST(sum(CASE WHEN s.quality IS DISTINCT FROM m.toxic THEN 1 ELSE 0 END) AS BIGINT) AS escapes FROM labels s JOIN labels m ON m.doc_id = s.doc_id
+""")
+def audit_escapes_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every label is audited."""
+    s = table(spark, sf_dir, "labels")
+    return review.escapes(s.select("doc_id", F.col("quality").alias("settled")), s.select("doc_id", F.col("toxic").alias("made")), ["doc_id"], "settled", "made")
+
+
 @query("SELECT role AS item, count(*) AS answers, count(DISTINCT conv_id % 7) AS reviewers, count(*) FILTER (length(text) % 9 = 0) AS unsure, quantile_cont(length(text), 0.5) AS median_ms FROM conversations GROUP BY 1")
 def review_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.length("text")

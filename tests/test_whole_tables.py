@@ -19,3 +19,22 @@ def test_blind_pairs_of_all_slots(spark, tmp_path):
     want = {(c, a, b, last[c, a] == last[c, b]) for c in range(1, 26) for a, b in combinations(sorted(r for d, r in last if d == c), 2)}
     got = run(spark, tmp_path, "blind_pairs_all", conversations=(rows, "conv_id long, turn long, role string, text string"))
     assert {(r["slot"], r["first"], r["second"], r["same"]) for r in got} == want and len(got) == len(want)
+
+
+def test_every_label_is_audited(spark, tmp_path):
+    rows = [(i, i % 2, i % 3 % 2) for i in range(1, 40)]
+    got = run(spark, tmp_path, "audit_escapes_all", labels=(rows, "doc_id long, quality int, toxic int"))
+    assert [tuple(r) for r in got] == [(39, sum(q != t for _, q, t in rows))]
+
+
+def test_every_document_is_scored(spark, tmp_path):
+    """Documents 1 to 30 and labels 11 to 40: ten documents unscored, ten labels missed."""
+    docs = [(i, ("en", "de")[i % 2], 100 * i) for i in range(1, 31)]
+    labels = [(i, i % 2) for i in range(11, 41)]
+    got = run(spark, tmp_path, "route_score_all", documents=(docs, "doc_id long, lang string, n_chars long"), labels=(labels, "doc_id long, quality int"))
+    by = {r["route"]: (r["scored"], r["right"], r["wrong"], r["missed"], r["unscored"]) for r in got}
+    want = {"-": (0, 0, 0, 10, 0)}
+    for k, lang in enumerate(("en", "de")):
+        right = [i for i in range(11, 31) if i % 2 == k and (i > 10) == (i % 2)]
+        want[lang] = (10, len(right), 10 - len(right), 0, 5)
+    assert by == want
