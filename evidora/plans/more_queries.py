@@ -41,6 +41,17 @@ def byte_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", C.byte_offset(F.col("text"), F.least(F.lit(100), F.length("text"))).alias("at_byte"))
 
 
+@query("""
+SELECT doc_id, CAST(strlen(substr(text, 1, length(text) // 3)) AS INTEGER) AS third, CAST(strlen(substr(text, 1, length(text) * 2 // 3)) AS INTEGER) AS two_thirds,
+  CAST(strlen(substr(text, 1, length(text))) AS INTEGER) AS whole FROM documents
+""")
+def byte_offsets_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Offsets over the whole text: each third and the end."""
+    n = F.length("text")
+    at = lambda k: C.byte_offset(F.col("text"), F.floor(n * k / 3).cast("int"))
+    return table(spark, sf_dir, "documents").select("doc_id", at(1).alias("third"), at(2).alias("two_thirds"), at(3).alias("whole"))
+
+
 @query(r"SELECT doc_id, regexp_replace(text, '[\x00-\x08\x0b-\x1f\x7f]', '?', 'g') AS shown FROM documents")
 def control_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", C.visible(F.col("text")).alias("shown"))

@@ -38,3 +38,10 @@ def test_every_document_is_scored(spark, tmp_path):
         right = [i for i in range(11, 31) if i % 2 == k and (i > 10) == (i % 2)]
         want[lang] = (10, len(right), 10 - len(right), 0, 5)
     assert by == want
+
+
+def test_byte_offsets_deep_in_a_text(spark, tmp_path):
+    texts = ["", "a", "x" * 200 + "é\U0001f600" * 50, "ü" * 3000 + "end", None]
+    got = run(spark, tmp_path, "byte_offsets_all", documents=(list(enumerate(texts)), "doc_id long, text string"))
+    want = {i: tuple(t if t is None else len(t[: len(t) * k // 3].encode()) for k in (1, 2, 3)) for i, t in enumerate(texts)}
+    assert {r["doc_id"]: (r["third"], r["two_thirds"], r["whole"]) for r in got} == want
