@@ -48,8 +48,8 @@ def verbatim(text: Column) -> Column:
 
 
 def fold(text: Column) -> Column:
-    """Lower case letter by letter, with the four look-alike letters."""
-    return F.lower(F.translate(text, "ſıİK", "siik"))
+    """Lower case letter by letter, with the four look-alike letters; a capital sigma is no final one at a word's end."""
+    return F.lower(F.translate(text, "ſıİKΣ", "siikσ"))
 
 
 def url_host(url: Column) -> Column:

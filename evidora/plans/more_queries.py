@@ -36,6 +36,12 @@ def letter_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").filter(~F.col("text").rlike("[ſıİΣ]")).select("doc_id", C.fold(F.col("text")).alias("folded"))
 
 
+@query("SELECT doc_id, lower(translate(text, 'ſıİ' || chr(8490), 'siik')) AS folded FROM documents")
+def letter_fold_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document folded, those with look-alike letters and without text too."""
+    return table(spark, sf_dir, "documents").select("doc_id", C.fold(F.col("text")).alias("folded"))
+
+
 @query("SELECT doc_id, CAST(strlen(substr(text, 1, least(100, length(text)))) AS INTEGER) AS at_byte FROM documents")
 def byte_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", C.byte_offset(F.col("text"), F.least(F.lit(100), F.length("text"))).alias("at_byte"))

@@ -45,3 +45,14 @@ def test_byte_offsets_deep_in_a_text(spark, tmp_path):
     got = run(spark, tmp_path, "byte_offsets_all", documents=(list(enumerate(texts)), "doc_id long, text string"))
     want = {i: tuple(t if t is None else len(t[: len(t) * k // 3].encode()) for k in (1, 2, 3)) for i, t in enumerate(texts)}
     assert {r["doc_id"]: (r["third"], r["two_thirds"], r["whole"]) for r in got} == want
+
+
+def test_fold_of_every_text(spark, tmp_path):
+    texts = ["Plain TEXT", "ΟΔΟΣ ΣΑΣ, ΑΣ", "İstanbul ISPARTA ılık", "Congreſs ſS", "3 \u212a", "", None]
+    got = run(spark, tmp_path, "letter_fold_all", documents=(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r["doc_id"]: r["folded"] for r in got} == {i: t if t is None else kernel.fold(t) for i, t in enumerate(texts)}
+
+
+def test_fold_is_by_letter(spark):
+    s = "ΟΔΟΣ"
+    assert spark.createDataFrame([(s,)], "t string").select(C.fold("t")).first()[0] == kernel.fold(s)
