@@ -189,6 +189,19 @@ def free_name(name: str, columns: list[str]) -> str:
     return out
 
 
+def shard_in_order(store: ShardStore, docs: DataFrame) -> DataFrame | None:
+    """Append rows that are read from files in the order of the files' names and of the rows in them, as shards of about target_bytes; the rows of the last version.
+
+    The shards' names rise in that order. They are cut to size at once and not compacted, as merges keep no order.
+    """
+    at = docs.select(*(F.col(f"`{c}`") for c in docs.columns), F.col("_metadata.file_path").alias("_at_file"), F.col("_metadata.row_index").alias("_at_row"))
+    size = docs.select("_metadata.file_path", "_metadata.file_size").distinct().agg(F.sum("file_size")).first()[0] or 0
+    parts = max(1, -(-size // store.target_bytes))
+    ordered = at.repartitionByRange(parts, "_at_file", "_at_row").sortWithinPartitions("_at_file", "_at_row")
+    store.append(ordered.drop("_at_file", "_at_row"))
+    return store.read()
+
+
 def shard(store: ShardStore, arrivals: list[DataFrame], rounds: int = 8) -> DataFrame | None:
     """Append arrivals one after the other, compacting after each as tiers fill; the rows of the last version."""
     for a in arrivals:

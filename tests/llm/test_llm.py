@@ -542,3 +542,36 @@ def test_pipeline(spark, tmp_path):
     want = {c for _, c in brute_classes(alive)} - {5001}
     assert kept == want and len(out) == len(want)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "ngram_join", "decontamination", "source_mixing", "sharding"]
+
+
+def in_shards(spark, store):
+    return [r["doc_id"] for e in sorted(store.entries().collect()) for r in spark.read.parquet(e["path"]).collect()]
+
+
+@pytest.mark.parametrize("target", [20_000, 128 << 20])
+def test_shards_follow_the_mix(spark, tmp_path, target):
+    """Mixed files of different sizes, which Spark reads largest first."""
+    r = random.Random(12)
+    rows = [(i, prose(r, r.randrange(1, 20 if i % 7 else 400)), "en", f"s{i % 3}", i) for i in range(900)]
+    sm.in_mixed_order(spark.createDataFrame(rows, DOCS), rows_per_part=100).write.parquet(str(tmp_path / "mixed"))
+    files = sorted((tmp_path / "mixed").glob("*.parquet"))
+    want = [x["doc_id"] for f in files for x in spark.read.parquet(str(f)).collect()]
+    docs = spark.read.parquet(str(tmp_path / "mixed"))
+    store = sh.ShardStore(spark, str(tmp_path / "s"), target_bytes=target)
+    out = sh.shard_in_order(store, docs)
+    assert len(files) > 5 and len(want) == 900 and in_shards(spark, store) == want
+    assert (len(store.entries().collect()) > 1) == (target < 1 << 20)
+    assert Counter(map(tuple, out.select(docs.columns).collect())) == Counter(rows)
+
+
+def test_sharding_stage_keeps_the_order_of_files(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = [(i, "x" * (i // 100 * 50), "en", "s", i) for i in range(500)]
+    for k in range(5):
+        spark.createDataFrame(rows[100 * k : 100 * k + 100], DOCS).coalesce(1).write.mode("append").parquet(str(tmp_path / f"k{k}"))
+    (tmp_path / "mixed").mkdir()
+    for k in range(5):
+        next((tmp_path / f"k{k}").glob("*.parquet")).rename(tmp_path / "mixed" / f"part-{k:05d}.parquet")
+    out = corpus_pipeline.sharding_stage(spark, spark.read.parquet(str(tmp_path / "mixed")), "")
+    assert [x["doc_id"] for x in out.collect()] == list(range(500))
