@@ -125,7 +125,7 @@ def exact_topk(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col:
     n = numbered.count()
     parts = max(1, -(-n // max(1, block * 3 // 4)))
     length = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    ranged = rows.select("id", "v", length.alias("length"))
+    ranged = by_length(rows.select("id", "v", length.alias("length")))
     found = None
     for p in range(parts):
         own = numbered.filter((F.col("part") % parts) == p).select("id", "v").collect()
@@ -144,6 +144,11 @@ def exact_topk(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col:
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(id_col), "score")
 
 
+def by_length(rows: DataFrame) -> DataFrame:
+    """Each task's rows from the longest vector to the shortest: a bucket has similar lengths, and long vectors raise the floors before short ones come."""
+    return rows.sortWithinPartitions(F.desc("length"))
+
+
 def _pass(ranged: DataFrame, queries: list[tuple[int, np.ndarray]], k: int) -> DataFrame:
     by_dim: dict[int, tuple[list, list]] = {}
     for i, v in queries:

@@ -376,6 +376,24 @@ def test_exact_topk(spark, block):
     assert tk.exact_topk(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_topk_meets_long_vectors_first(spark, monkeypatch):
+    """What the pass is given falls in length within each task, over many batches."""
+    r = random.Random(8)
+    df = spark.createDataFrame([(i, [r.gauss(0, 1) * r.choice([0.1, 1, 5]) for _ in range(4)]) for i in range(4000)], "vec_id long, embedding array<double>").repartition(2)
+    seen, pass_ = [], tk._pass
+
+    def keep(ranged, queries, k):
+        seen.append(ranged)
+        return pass_(ranged, queries, k)
+
+    monkeypatch.setattr(tk, "_pass", keep)
+    assert tk.exact_topk(df, F.col("vec_id") % 1000 == 0).count() == 20
+    order = seen[0].select("length", F.spark_partition_id().alias("p")).collect()
+    for p in {x["p"] for x in order}:
+        lengths = [x["length"] for x in order if x["p"] == p]
+        assert len(lengths) > 1000 and lengths == sorted(lengths, reverse=True)
+
+
 def test_pruning_keeps_results():
     r = np.random.default_rng(1)
     c = np.floor(r.normal(0, 1, (3000, 16)) * r.lognormal(0, 1, (3000, 1)) * 256)
