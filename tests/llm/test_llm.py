@@ -389,69 +389,63 @@ def test_token_packing_round_trip(spark, empty):
 # ---------------------------------------------------------------- 6
 
 
-def brute_topk(rows, k=5):
-    vs = {}
-    for i, v in rows:
-        if i is not None and (q := tk.quantized(v)) is not None:
-            vs.setdefault(i, []).append([int(x) for x in q])
-    out = set()
-    for q in vs:
-        if q % 50 == 0:
-            best = {}
-            for x in vs[q]:
-                for c, ys in vs.items():
-                    for y in ys:
-                        if c != q and len(x) == len(y):
-                            s = sum(a * b for a, b in zip(x, y, strict=True))
-                            best[c] = max(best.get(c, s), s)
-            ranked = sorted(best.items(), key=lambda z: (-z[1], z[0]))[:k]
-            out |= {(q, n, c, s) for n, (c, s) in enumerate(ranked, 1)}
+def brute_topk(rows, k=5, is_query=lambda i: i % 50 == 0):
+    vs = [(n, i, [int(x) for x in q]) for n, (i, v) in enumerate(rows) if i is not None and (q := tk.quantized(v)) is not None]
+    out = Counter()
+    for n, q, x in vs:
+        if is_query(q):
+            scores = [(-sum(a * b for a, b in zip(x, y, strict=True)), c) for m, c, y in vs if m != n and len(x) == len(y)]
+            out.update((q, r, c, -s) for r, (s, c) in enumerate(sorted(scores)[:k], 1))
     return out
 
 
-@pytest.mark.parametrize("block", [16_384, 2])
-def test_exact_topk(spark, block):
+@pytest.mark.parametrize("block", [32 << 20, 100])
+def test_exact_topk(spark, block, monkeypatch):
+    monkeypatch.setattr(tk, "RANGE", 100)
+    monkeypatch.setattr(tk, "SEEDS", 20)
     r = random.Random(6)
     rows = [(i, [r.gauss(0, r.choice([0.05, 1, 3])) for _ in range(8)]) for i in range(400)]
     rows += [(1000 + i, [0.5] * 8) for i in range(30)] + [(50, [0.25] * 8), (100, rows[100][1])]
     rows += [(5000, None), (5001, []), (5002, [None] * 8), (5003, [float("nan")] * 8), (5004, [float("inf")] * 8), (5050, [0.0] * 8), (None, [1.0] * 8), (6000, [1.0, 2.0]), (6001, [1e12, 1e12])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("clash"))
-    got = tk.exact_topk(df, F.col("vec_id") % 50 == 0, block=block)
-    assert {tuple(x) for x in got.select("query_id", "rank", "vec_id", "score").collect()} == brute_topk(rows)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("clash")).withColumn("row", F.lit(1))
+    got = tk.exact_topk(df, F.col("vec_id") % 50 == 0, block_bytes=block)
+    assert Counter(map(tuple, got.select("query_id", "rank", "vec_id", "score").collect())) == brute_topk(rows)
     assert tk.exact_topk(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
-def test_topk_meets_long_vectors_first(spark, monkeypatch):
-    """What the pass is given falls in length within each task, over many batches."""
-    r = random.Random(8)
-    df = spark.createDataFrame([(i, [r.gauss(0, 1) * r.choice([0.1, 1, 5]) for _ in range(4)]) for i in range(4000)], "vec_id long, embedding array<double>").repartition(2)
-    seen, pass_ = [], tk._pass
+def test_exact_topk_of_text_ids(spark):
+    r = random.Random(7)
+    rows = [(f"v{i}", [float(r.randrange(-3, 4)) for _ in range(3)]) for i in range(60)]
+    got = tk.exact_topk(spark.createDataFrame(rows, "vec_id string, embedding array<float>"), F.col("vec_id").endswith("7"), k=3)
+    assert Counter(map(tuple, got.select("query_id", "rank", "vec_id", "score").collect())) == brute_topk(rows, 3, lambda i: i.endswith("7"))
 
-    def keep(ranged, queries, k):
-        seen.append(ranged)
-        return pass_(ranged, queries, k)
 
-    monkeypatch.setattr(tk, "_pass", keep)
-    assert tk.exact_topk(df, F.col("vec_id") % 1000 == 0).count() == 20
-    order = seen[0].select("length", F.spark_partition_id().alias("p")).collect()
-    for p in {x["p"] for x in order}:
-        lengths = [x["length"] for x in order if x["p"] == p]
-        assert len(lengths) > 1000 and lengths == sorted(lengths, reverse=True)
+def test_topk_ranges_of_length(spark, monkeypatch):
+    """Files hold ranges of length, from the longest vector to the shortest."""
+    monkeypatch.setattr(tk, "RANGE", 500)
+    r = random.Random(8)
+    df = spark.createDataFrame([(i, [r.gauss(0, 1) * r.choice([0.1, 1, 5]) for _ in range(4)], False) for i in range(4000)], "id long, v array<double>, q boolean")
+    lengths = [[x["length"] for x in spark.read.parquet(f).orderBy("row").collect()] for f in sorted(tk.by_length(df).inputFiles())]
+    assert len(lengths) == 8 and all(x == sorted(x, reverse=True) for x in lengths)
+    assert all(min(a) >= max(b) for a, b in zip(lengths, lengths[1:], strict=False))
 
 
-def test_pruning_keeps_results():
+def test_pruning_keeps_results_and_prunes():
     r = np.random.default_rng(1)
-    c = np.floor(r.normal(0, 1, (3000, 16)) * r.lognormal(0, 1, (3000, 1)) * 256)
+    c = np.floor(r.normal(0, 1, (6000, 16)) * r.lognormal(0, 1, (6000, 1)) * 256)
+    c[:3000, 4:] = np.floor(c[:3000, 4:] / 16)  # most of the weight in few coordinates
     q = np.floor(r.normal(0, 1, (20, 16)) * 256)
+    q[:, 4:] = np.floor(q[:, 4:] / 16)
     top = tk.TopK(np.arange(10_000, 10_020), q, 5)
     norms = np.sqrt((c**2).sum(1))
     order = np.argsort(-norms, kind="stable")
-    for s in range(0, 3000, 100):
+    for s in range(0, 6000, 100):
         o = order[s : s + 100]
-        top.bucket(o, c[o], norms[o])
+        top.bucket(o, o.tolist(), c[o], norms[o])
     exact = (q @ c.T).astype(np.int64)
     for i in range(20):
-        assert list(top.score[i]) == sorted(exact[i], reverse=True)[:5]
+        assert [-x[0] for x in top.best[i]] == sorted(exact[i], reverse=True)[:5]
+    assert top.made < 0.2 * top.met == 0.2 * exact.size
 
 
 # ---------------------------------------------------------------- 7
