@@ -6,11 +6,15 @@ byte string). A null text is an empty one. Training rows are those whose crc32(i
 
 Units. The `n_top` commonest tokens are units of their own; every other token belongs to one of `n_suffix`
 units by its last three bytes. The neural model predicts a unit from the two before it: the context vector is
-c1*r[u1] + c2*r[u2], the score of a unit w is its product with q[w] plus a bias. Training by noise-contrastive
-estimation uses every training token once: a first pass over a sixteenth of the documents starts the model,
-the second pass over all others goes on from it; the tasks of a pass train apart and their parameters are
-averaged. As the score is a sum over both context positions, the normalisers of all contexts are one product
-of two matrices of exponentials, so token probabilities are exactly normalised.
+c1*r[u1] + c2*r[u2], the score of a unit w is its product with q[w] plus a bias. As the score is a sum over both
+context positions, the normalisers of all contexts are one product of two matrices of exponentials, so token
+probabilities are exactly normalised.
+
+Training by noise-contrastive estimation uses every training token once. A hash of id and text deals texts out to
+shards of about SHARD_TOKENS tokens (of more where there would be over MOST_SHARDS shards) and to ROUNDS rounds. In a
+round each shard trains, as one task, from the same parameters; their means, weighted by tokens, begin the next round,
+and so do those of the sums that scale the steps. The shards depend on the corpus alone, so results do not on files or
+tasks. Texts are cut twice, to count tokens and to write their units; training and scoring read the units.
 
 Within a unit a known token has its relative frequency, discounted by the unit's Good-Turing mass for
 unseen tokens, which is shared as one event by all tokens that training has not seen.
@@ -29,14 +33,16 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import materialize, pieces
+from ._shared import materialize, mixed, pieces
 
 END = b""
-DIM, NOISE, BATCH, RATE = 24, 32, 1024, 0.15
+DIM, NOISE, BATCH, RATE = 24, 32, 1024, 0.3
+SHARD_TOKENS, MOST_SHARDS, ROUNDS = 2_000_000, 4_096, 4
 FLUSH = 200_000
 
 
@@ -70,15 +76,26 @@ class Net:
     b: np.ndarray
     c: np.ndarray  # 2 x DIM
 
+    def parts(self) -> list[np.ndarray]:
+        return [self.r, self.q, self.b, self.c]
+
     def rows(self) -> np.ndarray:
         """All parameters, one row a unit and one for the context weights."""
-        m = np.concatenate([self.r, self.q, self.b[:, None]], 1)
-        return np.concatenate([m, np.concatenate([self.c.reshape(1, -1), [[0]]], 1)])
+        return to_rows(self.parts())
 
     @staticmethod
     def of_rows(m: np.ndarray) -> Net:
-        m = m.astype(np.float32)
-        return Net(m[:-1, :DIM].copy(), m[:-1, DIM : 2 * DIM].copy(), m[:-1, -1].copy(), m[-1, : 2 * DIM].reshape(2, DIM).copy())
+        return Net(*of_rows(m))
+
+
+def to_rows(parts: list[np.ndarray]) -> np.ndarray:
+    r, q, b, c = parts
+    return np.concatenate([np.concatenate([r, q, b[:, None]], 1), np.concatenate([c.reshape(1, -1), [[0]]], 1)])
+
+
+def of_rows(m: np.ndarray) -> list[np.ndarray]:
+    m = m.astype(np.float32)
+    return [m[:-1, :DIM].copy(), m[:-1, DIM : 2 * DIM].copy(), m[:-1, -1].copy(), m[-1, : 2 * DIM].reshape(2, DIM).copy()]
 
 
 def start_net(unit_counts: np.ndarray, seed: int = 3) -> Net:
@@ -95,7 +112,7 @@ class Trainer:
         self.net, self.rng = net, np.random.default_rng(seed)
         p = (unit_counts + 0.5) / (unit_counts.sum() + 0.5 * len(unit_counts))
         self.cum, self.log_kp = np.cumsum(p), np.log(NOISE * p).astype(np.float32)
-        self.seen = [np.full(a.shape, 0.5, np.float32) for a in (net.r, net.q, net.b, net.c)]
+        self.seen = [np.full(a.shape, 0.5, np.float32) for a in net.parts()]
 
     @staticmethod
     def _by_row(rows: np.ndarray, grad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -185,65 +202,74 @@ def count_tokens(rows: DataFrame) -> DataFrame:
 
 
 def commonest(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
-    """At most `most` of the commonest tokens, all that reach some count, by count and token."""
+    """The `most` commonest tokens, by count and token."""
     level = F.floor(F.log2("c") * 16).cast("int")
     levels = sorted(((r["level"], r["n"]) for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect()), reverse=True)
-    held, least = 0, None
+    held, least, found = 0, None, []
     for at, n in levels:
-        if held + n > most:
+        if held + n > most:  # of the level at which there are too many, the first ones
+            found = counts.filter(level == at).orderBy(F.desc("c"), "token").limit(most - held).collect()
             break
         held, least = held + n, at
-    if least is None:
-        return []
-    return sorted(((bytes(r["token"]), int(r["c"])) for r in counts.filter(level >= least).collect()), key=lambda x: (-x[1], x[0]))
+    if least is not None:
+        found += counts.filter(level >= least).collect()
+    return sorted(((bytes(r["token"]), int(r["c"])) for r in found), key=lambda x: (-x[1], x[0]))
 
 
-def train_pass(rows: DataFrame, units: Units, unit_counts: np.ndarray, net: Net) -> Net:
-    """One pass: each task trains from `net` over its rows; the mean of their parameters, weighted by tokens."""
-    sent = rows.sparkSession.sparkContext.broadcast((list(units), units.n_suffix, unit_counts, net.rows().astype(np.float32)))
+def train_round(coded: DataFrame, number: int, shards: int, unit_counts: np.ndarray, end: int, net: Net, seen: np.ndarray) -> tuple[Net, np.ndarray]:
+    """A round over rows (shard, round, place, units): every shard trains from `net`; the means of what they come to, weighted by tokens."""
+    sent = coded.sparkSession.sparkContext.broadcast((unit_counts, net.rows().astype(np.float32), seen.astype(np.float32)))
     width = 2 * DIM + 1
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        top, n_suffix, counts, start = sent.value
-        of, net, trained, trainer = Units(top, n_suffix), Net.of_rows(start), 0, None
-        for b in pieces(batches, 0):
-            words: list[bytes] = []
-            lengths = []
-            for t in b.column(0).to_pylist():
-                w = tokens(t)
-                words += w
-                words.append(END)
-                lengths.append(len(w) + 1)
-            if not lengths:
+        counts, start, scale = sent.value
+        trainer, trained = None, 0
+        for b in batches:
+            if not b.num_rows:
                 continue
-            trainer = trainer or Trainer(net, counts, len(words))
-            u = np.fromiter(map(of.__getitem__, words), np.int64, len(words))
-            trainer.train(*contexts(u, np.array(lengths), of[END]), u)
-            trained += len(words)
+            if trainer is None:
+                trainer = Trainer(Net.of_rows(start), counts, number * MOST_SHARDS + b.column(0)[0].as_py())
+                trainer.seen = of_rows(scale)
+            texts = [np.frombuffer(x, np.uint16) for x in b.column(1).to_pylist()]
+            lengths = np.array([len(x) for x in texts])
+            u = np.concatenate(texts).astype(np.int64)
+            trainer.train(*contexts(u, lengths, end), u)
+            trained += len(u)
         if trained:
-            m = net.rows()
-            n = len(m)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n), pa.int32()), pa.array(np.full(n, float(trained))), pa.array(list((m * trained).astype(np.float64)), pa.list_(pa.float64()))], names=["unit", "weight", "values"])
-
-    out = rows.select("text").mapInArrow(train, "unit int, weight double, values array<double>")
-    out = out.select("unit", "weight", F.posexplode("values").alias("at", "v")).groupBy("unit", "at").agg((F.sum("v") / F.sum("weight")).alias("v"))
-    mean = out.toPandas()  # as large as the model, whatever the input
-    if not len(mean):
-        return net
-    m = np.zeros((len(unit_counts) + 1, width))
-    m[mean["unit"].to_numpy(), mean["at"].to_numpy()] = mean["v"].to_numpy()
-    return Net.of_rows(m)
+            m = np.concatenate([trainer.net.rows(), to_rows(trainer.seen)], 1).astype(np.float32)
+            cut = range(0, len(m), 32)
+            yield pa.RecordBatch.from_arrays([pa.array([i // 32 for i in cut], pa.int32()), pa.array([float(trained)] * len(cut)), pa.array([m[i : i + 32].tobytes() for i in cut], pa.binary())], names=["part", "weight", "values"])
+
+    def mean(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        total, weight = 0.0, rows["weight"].sum()
+        order = rows.sort_values(["weight", "values"])  # sums in one order whatever the tasks
+        for w, v in zip(order["weight"], order["values"], strict=True):
+            total = total + np.frombuffer(v, np.float32).astype(np.float64) * w
+        return pd.DataFrame({"part": [key[0]], "values": [(total / weight).tobytes()]})
+
+    own = coded.filter((F.col("round") == number) & ~F.col("held_out")).select("shard", "units", "place")
+    dealt = own.repartitionById(shards, "shard").sortWithinPartitions("place", "units")
+    out = dealt.select("shard", "units").mapInArrow(train, "part int, weight double, values binary").groupBy("part").applyInPandas(mean, "part int, values binary")
+    parts = sorted((r["part"], bytes(r["values"])) for r in out.collect())  # as large as the model, whatever the input
+    if not parts:
+        return net, seen
+    m = np.concatenate([np.frombuffer(v, np.float64).reshape(-1, 2 * width) for _, v in parts])
+    return Net.of_rows(m[:, :width]), m[:, width:]
 
 
 def lm_scoring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, n_top: int = 768, n_suffix: int = 256, n_frequent: int = 200_000) -> DataFrame:
-    """Rows (id_col, held_out, n_tokens, n_known, train_tokens, base_score, score), one for each input row.
+    """Rows (id_col, held_out, n_tokens, n_known, train_tokens, base_score, unigram_score, score), one for each input row.
 
-    base_score: sum over tokens of log10((c+0.1)/(N+0.1*(V+1))) of their training counts c. An empty table
-    gives an empty result; without training rows N and V are 0 and all tokens are unseen.
+    base_score: sum over tokens of log10((c+0.1)/(N+0.1*(V+1))) of their training counts c. unigram_score: that of the model
+    without its context, with each unit's share of the training tokens and the same smoothing within units. An empty
+    table gives an empty result; without training rows N and V are 0 and all tokens are unseen.
     """
+    if n_top + n_suffix > 1 << 16:
+        raise ValueError("units are written in 16 bits")
     spark = docs.sparkSession
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), ((F.crc32(key.cast("binary")) % folds) == 0).alias("held_out"), (F.xxhash64(key) % 16 == 0).alias("early"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), ((F.crc32(key.cast("binary")) % folds) == 0).alias("held_out"))
+    rows = rows.withColumn("place", F.xxhash64("id", "text"))
     counts = materialize(count_tokens(rows), "counts")
     n_first = F.lit(n_suffix)
     total = counts.agg(F.sum("c"), F.count("*")).first()
@@ -252,7 +278,6 @@ def lm_scoring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     top = [t for t, _ in frequent[:n_top]]
     if END not in top:
         top = [END, *top[: n_top - 1]]
-    units = Units(top, n_suffix)
     # of each suffix unit: tokens in all, kinds seen once
     tail = counts.filter(~F.col("token").isin(top)) if len(top) < 64 else counts.join(F.broadcast(spark.createDataFrame([(bytearray(t),) for t in top], "token binary")), "token", "left_anti")
     by_suffix = tail.groupBy((F.crc32(F.expr("substring(token, greatest(length(token) - 2, 1), 3)")) % n_first).cast("int").alias("g")).agg(F.sum("c").alias("n"), F.sum((F.col("c") == 1).cast("long")).alias("once")).collect()
@@ -262,20 +287,17 @@ def lm_scoring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     known = dict(frequent)
     unit_counts = np.concatenate([[known.get(t, 0) for t in top], mass]).astype(np.float64)
     unseen = np.where(mass > 0, (once + 0.5) / (mass + 1), 1.0)
-    net = start_net(unit_counts)
-    train = rows.filter(~F.col("held_out"))
-    for part in (F.col("early"), ~F.col("early")):
-        net = train_pass(train.filter(part), units, unit_counts, net)
     below = math.log10(n_all + 0.1 * (n_kinds + 1))
     with np.errstate(divide="ignore"):
         # of a known token in a suffix unit: log10 of (1 - unseen) / mass, to which log10 c is added
         share = np.where(mass > 0, np.log10(np.maximum(1 - unseen, 1e-12)) - np.log10(np.maximum(mass, 1)), 0.0)
         new = np.log10(unseen)
+    shards = max(1, min(MOST_SHARDS, -(-n_all // SHARD_TOKENS)))
     frequent_tokens = [t for t, _ in frequent]
-    sent = spark.sparkContext.broadcast((frequent_tokens, np.array([c for _, c in frequent], np.float64), top, n_suffix, share, new, Tables.of(net)))
+    words_sent = spark.sparkContext.broadcast((frequent_tokens, np.array([c for _, c in frequent], np.float64), top, n_suffix, share))
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, c, top, n_suffix, share, new, tables = sent.value
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, c, top, n_suffix, share = words_sent.value
         of = Units(top, n_suffix)
 
         class Index(dict):
@@ -308,9 +330,7 @@ def lm_scoring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             at = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
             rare = at < 0
             u = np.where(rare, -1 - at, unit[np.where(rare, 0, at)])
-            one, two = contexts(u, lengths, of[END])
-            lp = tables.log10(one, two, u)
-            lp += np.where(rare, 0.0, inner[np.where(rare, 0, at)])
+            inside = np.where(rare, 0.0, inner[np.where(rare, 0, at)])
             starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
             fixed = np.where(rare, 0.0, base[np.where(rare, 0, at)])
             ok = np.where(rare, False, seen[np.where(rare, 0, at)])
@@ -321,19 +341,53 @@ def lm_scoring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 others[i] = list(Counter(words[j] for j in where[bounds[i] : bounds[i + 1]]).items())
             ids = [begin + (row + i).to_bytes(8, "big") for i in range(len(texts))]
             row += len(texts)
+            u = u.astype(np.uint16)
+            units = [u[s : s + n].tobytes() for s, n in zip(starts, lengths, strict=True)]
+            # repeated rows of a batch go to different shards
+            again: Counter = Counter()
+            place = b.column(3).to_numpy().copy()
+            for i, p in enumerate(place.tolist()):
+                if again[p]:
+                    place[i] = zlib.crc32(f"{p} {again[p]}".encode()) - (1 << 31)
+                again[p] += 1
+            dealt = mixed(place.view(np.uint64))
             kind = pa.list_(pa.struct([("token", pa.binary()), ("k", pa.int64())]))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2), pa.array(ids, pa.binary()), pa.array(lengths, pa.int64()), pa.array(np.add.reduceat(ok.astype(np.int64), starts)), pa.array(np.add.reduceat(fixed, starts)), pa.array(np.add.reduceat(lp, starts)), pa.array([None if o is None else [{"token": t, "k": k} for t, k in o] for o in others], kind)],
-                names=["id", "held_out", "row", "n_tokens", "n_known", "base_score", "score", "others"],
-            )
+                [b.column(0), b.column(2), pa.array(ids, pa.binary()), pa.array(lengths, pa.int64()), pa.array(np.add.reduceat(ok.astype(np.int64), starts)), pa.array(np.add.reduceat(fixed, starts)), pa.array(np.add.reduceat(inside, starts)), pa.array([None if o is None else [{"token": t, "k": k} for t, k in o] for o in others], kind),
+                 pa.array(units, pa.binary()), pa.array(place), pa.array((dealt >> np.uint64(32)) % np.uint64(shards), pa.int32()), pa.array((dealt & np.uint64(0xFFFF)) % np.uint64(ROUNDS), pa.int32())],
+                names=["id", "held_out", "row", "n_tokens", "n_known", "base_score", "inside", "others", "units", "place", "shard", "round"],
+            )
 
     kind = rows.schema["id"].dataType.simpleString()
-    scored = materialize(rows.select("id", "text", "held_out").mapInArrow(score, f"id {kind}, held_out boolean, row binary, n_tokens long, n_known long, base_score double, score double, others array<struct<token:binary,k:bigint>>"), "scored")
+    coded = rows.select("id", "text", "held_out", "place").mapInArrow(code, f"id {kind}, held_out boolean, row binary, n_tokens long, n_known long, base_score double, inside double, others array<struct<token:binary,k:bigint>>, units binary, place long, shard int, round int")
+    coded = materialize(coded, "coded")
+    end = Units(top, n_suffix)[END]
+    net = start_net(unit_counts)
+    seen = to_rows([np.full(a.shape, 0.5, np.float32) for a in net.parts()])
+    for number in range(ROUNDS if n_all else 0):
+        net, seen = train_round(coded, number, shards, unit_counts, end, net, seen)
+    model_sent = spark.sparkContext.broadcast((Tables.of(net), np.log10((unit_counts + 0.5) / (unit_counts.sum() + 0.5 * len(unit_counts)))))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables, alone = model_sent.value
+        names = ["id", "held_out", "row", "n_tokens", "n_known", "base_score", "unigram_score", "score"]
+        for b in pieces(batches, 7, 2 << 20):
+            if not b.num_rows:
+                continue
+            u = np.frombuffer(b"".join(b.column(7).to_pylist()), np.uint16).astype(np.int64)
+            lengths = b.column(3).to_numpy()
+            one, two = contexts(u, lengths, end)
+            starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+            inside = b.column(6).to_numpy()
+            sums = [np.add.reduceat(x, starts) + inside for x in (alone[u], tables.log10(one, two, u))]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(6)), *map(pa.array, sums)], names=names)
+
+    scored = coded.select("id", "held_out", "row", "n_tokens", "n_known", "base_score", "inside", "units").mapInArrow(score, f"id {kind}, held_out boolean, row binary, n_tokens long, n_known long, base_score double, unigram_score double, score double")
     # tokens outside the bounded table: one row for each text and token, joined with the counts
     token_unit = (F.crc32(F.expr("substring(token, greatest(length(token) - 2, 1), 3)")) % n_first).cast("int")
     shares, news = F.array(*(F.lit(float(x)) for x in share)), F.array(*(F.lit(float(x)) for x in new))
     c = F.coalesce(F.col("c"), F.lit(0))
-    rest = scored.select("row", F.inline("others")).join(counts, "token", "left")
+    rest = coded.select("row", F.inline("others")).join(counts, "token", "left")
     rest = rest.select(
         "row",
         (F.col("k") * (c > 0).cast("long")).alias("known"),
@@ -341,6 +395,6 @@ def lm_scoring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         (F.col("k") * F.when(c > 0, F.log10(F.greatest(c, F.lit(1))) + shares[token_unit]).otherwise(news[token_unit])).alias("lp"),
     )
     rest = rest.groupBy("row").agg(F.sum("known").alias("known"), F.sum("base").alias("base"), F.sum("lp").alias("lp"))
-    out = scored.drop("others").join(rest, "row", "left")
+    out = scored.join(rest, "row", "left")
     zero = lambda x: F.coalesce(F.col(x), F.lit(0))
-    return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("n_known") + zero("known")).alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"), (F.col("base_score") + zero("base")).alias("base_score"), (F.col("score") + zero("lp")).alias("score"))
+    return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("n_known") + zero("known")).alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"), (F.col("base_score") + zero("base")).alias("base_score"), (F.col("unigram_score") + zero("lp")).alias("unigram_score"), (F.col("score") + zero("lp")).alias("score"))

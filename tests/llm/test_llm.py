@@ -113,14 +113,26 @@ def test_lm_scoring(spark, odd, empty):
     assert all(x["train_tokens"] == 0 for x in lm.lm_scoring(frame(spark, only_held)).collect())
 
 
-def test_lm_beats_its_base_on_held_out_texts(spark):
-    """Two languages: the words before tell which one a word is of."""
+def test_lm_beats_its_unigram_whatever_the_layout(spark, monkeypatch):
+    """Two languages: the words before tell which one a word is of. Files and tasks change nothing."""
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 100_000)
     r = random.Random(1)
     vocabularies = WORDS[:40], WORDS[40:80]
     rows = [(i, " ".join(r.choice(vocabularies[i % 2]) for _ in range(150))) for i in range(1200)]
-    got = [x for x in lm.lm_scoring(frame(spark, rows).coalesce(1), n_top=128, n_suffix=8).collect() if x["held_out"]]
-    gain = sum(x["score"] - x["base_score"] for x in got) / sum(x["n_tokens"] for x in got)
-    assert gain > 0.05
+    scores = []
+    for docs in (frame(spark, rows).coalesce(1), frame(spark, rows[::-1]).repartition(64)):
+        got = [x for x in lm.lm_scoring(docs, n_top=128, n_suffix=8).collect() if x["held_out"]]
+        n = sum(x["n_tokens"] for x in got)
+        assert sum(x["score"] - x["base_score"] for x in got) / n > 0.1 and sum(x["score"] - x["unigram_score"] for x in got) / n > 0.1
+        scores.append({x["doc_id"]: x["score"] for x in got})
+    assert scores[0] == pytest.approx(scores[1], rel=1e-6)
+
+
+def test_commonest_breaks_ties_by_token(spark):
+    counts = spark.createDataFrame([(bytearray(f"t{i:03d}".encode()), 5 if i else 9) for i in range(300)], "token binary, c long")
+    assert lm.commonest(counts, 10) == [(b"t000", 9), *((f"t{i:03d}".encode(), 5) for i in range(1, 10))]
+    assert lm.commonest(counts.filter("c = 5"), 3) == [(f"t{i:03d}".encode(), 5) for i in range(1, 4)]
+    assert len(lm.commonest(counts, 1000)) == 300
 
 
 def test_lm_probabilities_are_normalised():
