@@ -476,10 +476,37 @@ def test_wand_against_all_scores():
         q = sorted({index.terms[w] for w in dc.words_of(prose(r, 60) + " " + " ".join(r.choice(items)[1] or "" for _ in range(1))) if w in index.terms})
         scores = Counter()
         for t in q:
-            for a, b in zip(*index.postings[t], strict=True):
+            for a, b in zip(*index.postings(t), strict=True):
                 scores[a] += b
         for limit in (0.3, 0.5, 0.8):
-            assert {i for i, _ in index.wand(q, limit)} == {i for i, s in scores.items() if s >= limit - 1e-6}
+            want = {i for i, s in scores.items() if s >= limit - 1e-6}
+            assert {i for i, _ in index.wand(q, limit)} == want
+            live = sorted({i // dc.BLOCK for i in want} | {r.randrange(index.n_blocks)})
+            assert {i for i, _ in index.wand(q, limit, live)} == want
+
+
+def brute_contamination(items, rows, threshold=0.5, question=0.5, answer=0.25):
+    """(document, item) by all scores of all passages, n-grams as tuples of words."""
+    items = sorted({(i, t) for i, t in items if dc.words_of(t)}, key=lambda x: (x[0] is not None, x))
+    words = [dc.words_of(t) for _, t in items]
+    df, mean, n = Counter(w for ws in words for w in set(ws)), sum(map(len, words)) / len(words), len(items)
+    weights = []
+    for ws in words:
+        x = {t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * f * (dc.K1 + 1) / (f + dc.K1 * (1 - dc.B + dc.B * len(ws) / mean)) for t, f in Counter(ws).items()}
+        weights.append({t: v / sum(x.values()) for t, v in x.items()})
+    width, out = max(64, *map(len, words)), set()
+    runs = lambda ws, k: {tuple(ws[i : i + k]) for i in range(len(ws) - k + 1)} if k else set()
+    for doc, text in rows:
+        ws = dc.words_of(text)
+        for at in range(0, len(ws), width):
+            passage = ws[at : at + 2 * width]
+            have = set(passage)
+            for (item, t), x in zip(items, weights, strict=True):
+                if sum(v for w, v in x.items() if w in have) >= threshold - 1e-6:
+                    parts = [runs(p, k) and len(runs(p, k) & runs(passage, k)) / len(runs(p, k)) for p in dc.question_and_answer(t) for k in [min(dc.N, len(p))]]
+                    if (parts[0] or 0) >= question and (parts[1] if parts[1] != set() else 1) >= answer:
+                        out.add((doc, item))
+    return out
 
 
 def test_decontamination(spark, odd, empty, monkeypatch):
@@ -492,15 +519,28 @@ def test_decontamination(spark, odd, empty, monkeypatch):
         at = r.randrange(len(w) + 1)
         rows.append((100 + i, " ".join([*w[:at], items[i][1].upper(), *w[at:]])))
         planted[100 + i] = items[i][0]
+        some = items[20 + i][1].split()  # parts of items, with other words between
+        rows.append((200 + i, " ".join([*some[: r.randrange(len(some))], *w[:30], *some[r.randrange(len(some)) :]])))
     rows.append((500, items[3][1].split("?")[0] + "?"))  # the question alone
-    b = spark.createDataFrame(items, "item_id long, text string")
-    for shard in (2_000, 7):
+    b = spark.createDataFrame(items, "item_id long, text string").withColumn("df", F.lit("clash"))
+    want = brute_contamination(items, rows)
+    assert set(planted.items()) <= want
+    for shard, long in ((100_000, 128), (100_000, 2), (7, 128)):
         monkeypatch.setattr(dc, "SHARD", shard)
+        monkeypatch.setattr(dc, "LONG", long)
         shards = dc.build_shards(b)
-        got = {(x["doc_id"], x["item_id"]) for x in dc.contamination(frame(spark, rows), shards).collect() if x["item_id"] != 97}
-        assert got == set(planted.items())
+        assert (len(shards) > 1) == (shard == 7)
+        texts = [t for _, t in rows]
+        found = {(rows[i][0], x.items[k].as_py()) for x in shards for i, h in enumerate(dc.search(x, texts, 0.5, 0.5, 0.25)) for k in h}
+        # passages are as long as the longest item of an index
+        assert found == want if shard > 7 else set(planted.items()) <= found
+    monkeypatch.setattr(dc, "SHARD", 100_000)
+    shards = dc.build_shards(b)
+    assert {(x["doc_id"], x["item_id"]) for x in dc.contamination(frame(spark, rows).withColumn("id", F.lit("clash")), shards).collect()} == want
     clean = dc.without_contaminated(frame(spark, rows), shards)
-    assert {x["doc_id"] for x in clean.collect()} == {i for i, _ in rows} - set(planted)
+    assert {x["doc_id"] for x in clean.collect()} == {i for i, _ in rows} - {i for i, _ in want}
+    named = dc.contamination(frame(spark, rows), dc.build_shards(b.select(F.concat(F.lit("item "), "item_id").alias("item_id"), "text")))
+    assert {(x["doc_id"], x["item_id"]) for x in named.collect()} == {(d, f"item {i}") for d, i in want}
     assert dc.contamination(odd, shards).count() == 0 and dc.contamination(empty, shards).count() == 0
     assert dc.build_shards(b.limit(0)) == [] and dc.contamination(odd, []).count() == 0
     assert dc.without_contaminated(odd, shards).count() == len(ODD)
