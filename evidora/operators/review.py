@@ -52,7 +52,8 @@ def page(rows: DataFrame, keys: Sequence[str], after: tuple | None, size: int) -
         later = F.lit(False)
         for i in reversed(range(len(keys))):
             k, v = F.col(keys[i]), F.lit(after[i])
-            later = (k > v) | ((k == v) & later)
+            beyond = F.coalesce(k > v, F.lit(False)) if after[i] is not None else k.isNotNull()
+            later = beyond | (k.eqNullSafe(v) & later)
         rows = rows.filter(later)
     return rows.orderBy(*(F.asc_nulls_first(k) for k in keys)).limit(size)
 

@@ -57,7 +57,11 @@ def latest_stream(answers: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 
 def append_stream(events: DataFrame, store: Store, log: str, body: str, checkpoint: str, order: str) -> StreamingQuery:
-    """Append arriving bodies to a hash-chained log. A batch that the log already holds, by its number, is not written again."""
+    """Append arriving bodies to a hash-chained log. A batch that the log already holds, by its number, is not written again.
+
+    The digests of a chain follow one another, so a micro-batch is one append made on the driver: bound it by the source's
+    maxFilesPerTrigger or the like.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
         mark = f"batch:{number}"

@@ -14,9 +14,11 @@ _made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a fresh one where that is unset (tests, local mode)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a fresh one where that is unset in local mode. Raises on a cluster that names none."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not folder:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="evidora-shared-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", folder)
@@ -27,6 +29,42 @@ def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/evidora-{what}-{uuid.uuid4().hex}"
 
 
+def put_if_absent(spark: SparkSession, path: str, body: str) -> bool:
+    """Make a file with the given text, whole or not at all, unless it is there; whether it was made. Of several writers one makes it.
+
+    Local files: a hard link, which fails on a name in use. HDFS: a rename that overwrites nothing. Other stores: their conditional
+    create, under which a file comes to be when it is closed.
+    """
+    from py4j.protocol import Py4JJavaError
+
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    Path = jvm.org.apache.hadoop.fs.Path
+    p = Path(path)
+    fs = p.getFileSystem(conf)
+    fs.mkdirs(p.getParent())
+    real = fs.resolvePath(p.getParent())  # a view names another file system
+    fs, p = real.getFileSystem(conf), Path(real, p.getName())
+    scheme = fs.getUri().getScheme()
+    at = Path(real, f".waiting-{uuid.uuid4().hex}") if scheme in ("file", "hdfs") else p
+    try:
+        out = fs.create(at, False)
+        out.write(bytearray(body.encode()))
+        out.close()
+        if scheme == "file":
+            jvm.java.nio.file.Files.createLink(jvm.java.io.File(p.toUri().getPath()).toPath(), jvm.java.io.File(at.toUri().getPath()).toPath())
+        elif scheme == "hdfs":
+            none = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf).rename(at, p, none)
+        return True
+    except Py4JJavaError as e:
+        if "AlreadyExists" in e.java_exception.getClass().getName() or fs.exists(p):
+            return False
+        raise
+    finally:
+        if at is not p:
+            fs.delete(at, False)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

@@ -116,3 +116,15 @@ def test_command_line(spark, tmp_path, capsys):
     (tmp_path / "bad.json").write_text("{}")
     assert cli.main(["schema", "check", str(tmp_path / "bad.json")]) == 1
     assert "0.2589" in capsys.readouterr().out
+
+
+def test_page_after_a_null(spark):
+    from evidora.operators import review
+
+    rows = spark.createDataFrame([(a, b) for a in (None, 1, 2) for b in (None, 1, 2)], "a int, b int")
+    want = sorted([(r["a"], r["b"]) for r in rows.collect()], key=lambda x: [(v is not None, v or 0) for v in x])
+    at, got = None, []
+    while page := review.page(rows, ["a", "b"], at, 2).collect():
+        got += [tuple(r) for r in page]
+        at = got[-1]
+    assert got == want

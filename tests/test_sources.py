@@ -97,3 +97,38 @@ def test_store(spark, tmp_path):
     assert s.append("answers", ["3"], head)[0] == 3 and s.check().count() == 0
     named = spark.createDataFrame([("doc", "nowhere")], "kind string, key string")
     assert sorted(r["problem"] for r in s.orphans(named).collect()) == ["missing", "orphan", "orphan"]
+
+
+def test_of_several_writers_one_commits(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from evidora.tables import put_if_absent
+
+    path = str(tmp_path / "folder" / "v1")
+    with ThreadPoolExecutor(8) as pool:
+        made = list(pool.map(lambda i: put_if_absent(spark, path, f"writer {i}"), range(16)))
+    assert sum(made) == 1 and (tmp_path / "folder" / "v1").read_text() == f"writer {made.index(True)}"
+    assert [p.name for p in (tmp_path / "folder").iterdir() if not p.name.endswith(".crc")] == ["v1"]
+    s = Store(spark, str(tmp_path / "s"))
+    head = s.append("log", ["first"])
+
+    def add(i):
+        try:
+            return s.append("log", [f"by {i}"], head)
+        except StaleHead:
+            return None
+
+    with ThreadPoolExecutor(4) as pool:
+        assert sum(x is not None for x in pool.map(add, range(4))) == 1
+    assert s.log("log").count() == 2 and s.check().count() == 0
+
+
+def test_compaction_goes_by_generations(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "s"))
+    rows = lambda *xs: spark.createDataFrame([("doc", bytearray(x)) for x in xs], "kind string, bytes binary")
+    s.put(rows(b"a", b"b"))
+    s.compact()
+    s.put(rows(b"b", b"c"))
+    assert s.generation() == 1 and s.objects().count() == 3
+    s.compact()
+    assert s.generation() == 2 and s.objects().count() == 3
