@@ -20,7 +20,7 @@ from ..kernel.text import Text, fold
 from .chunks import windows_of
 
 # ---------------------------------------------------------------- fixed limits
-MOST_REGIONS, MOST_MATCHES, MOST_PROMPT = 8, 1024, 1 << 16
+MOST_REGIONS, MOST_PROMPT = 8, 1 << 16
 # ------------------------------------------------------------------------------
 
 
@@ -51,7 +51,7 @@ def search(text: str, queries: Sequence[str], reach: int = 400, most: int = MOST
     hits: list[tuple[int, int, int]] = []
     for n, q in enumerate(dict.fromkeys(fold(x) for x in queries if x.strip())):
         pattern = regex.compile(r"(?<![\p{L}\p{N}])" + r"\s+".join(map(regex.escape, q.split())) + r"(?![\p{L}\p{N}])")
-        found = [m.span() for m in pattern.finditer(low)][:MOST_MATCHES]
+        found = [m.span() for m in pattern.finditer(low)]
         if lines > 3 and len({low.count("\n", 0, s) for s, _ in found}) * 2 > lines:
             continue
         hits += [(s, e, n) for s, e in found]
@@ -106,8 +106,11 @@ def _steps(doc: str, text: str, ask_for: Callable[[int, str], str | None], promp
     """The calls of one document. ask_for gives the reply to a step's prompt, None where a replay has no more."""
     out: list[dict[str, Any]] = []
     for s, e in plan(text, None, size, overlap):
-        ask = prompt(text[s:e])[:MOST_PROMPT]
+        ask = prompt(text[s:e])
         for _ in range(1 + rounds):
+            if len(ask) > MOST_PROMPT:  # no call is made; the chunk is not cut in silence
+                out.append({"doc_id": doc, "step": len(out), "start": s, "end": e, "prompt_sha256": text_digest("prompt", ask), "reply": None, "error": f"the prompt has {len(ask)} of {MOST_PROMPT} characters", "candidates": []})
+                break
             reply = ask_for(len(out), ask)
             if reply is None:
                 break
