@@ -27,12 +27,18 @@ REJECT_CODES = (
 
 
 def admit(text: str, schema: Mapping[str, Any], candidates: Sequence[Any], policy: Mapping[str, Any] | None = None, packs: Sequence[Mapping[str, Any]] = (), **more: Any) -> dict[str, Any]:
-    """Decide the candidates of one document: {"decisions", "coverage", "sha256"}; without flags of relations and records, which are set operations of admit_table()."""
+    """Decide the candidates of one document: {"decisions", "coverage", "sha256"}.
+
+    Raises ValueError for a schema with relations or records and for a policy with a judge or with proposers that must be
+    corroborated: these compare candidates with each other, which is left to admit_table() and its set operations.
+    """
     import unicodedata
 
     if not isinstance(text, str) or not unicodedata.is_normalized("NFC", text):
         raise PacketError("the text is not a string in NFC")
     s, p = Schema.of(schema, packs), Policy.of(policy)
+    if s.relations or s.record_of or p.judge or "corroborate" in p.proposers.values():
+        raise ValueError("relations, records, judges and corroboration are decided by admit_table()")
     packet = Packet(text, s, p, **more)
     rows = [{"pos": i, **decide(packet, c)} for i, c in enumerate(candidates)]
     seen: dict[tuple, set] = {}

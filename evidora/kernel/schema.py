@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field as member
+from dataclasses import dataclass, field as member, replace
 from decimal import Decimal
 from typing import Any
 
@@ -15,6 +15,7 @@ from .text import BASE, Vocabulary, fold, normalise, parse_value
 from .units import UnitTable
 
 TYPES = ("number", "integer", "string", "date", "record", "passage")
+CHECKS = ("replace", "unique", "agree")
 COMPARATORS = ("eq", "gt", "ge", "lt", "le", "approx", "range")
 _NAME = regex.compile(r"[a-z][a-z0-9_]{0,63}")
 
@@ -113,11 +114,23 @@ class Relation:
     tolerance: Decimal
 
 
+@dataclass(frozen=True)
+class Check:
+    """A check across the records of a document set."""
+
+    id: str
+    check: str
+    field: str
+    member: str
+    compare: tuple[str, ...] = ()
+
+
 @dataclass
 class Schema:
     fields: dict[str, Field]
     units: UnitTable
     relations: tuple[Relation, ...] = ()
+    checks: tuple[Check, ...] = ()
     record_of: dict[str, str] = member(default_factory=dict)  # member field -> record field
     sha256: str = ""
     vocabulary: Vocabulary = BASE
@@ -134,7 +147,7 @@ class Schema:
         record_of = {}
         for f in list(fields.values()):
             for m in (f.members or {}).values():
-                _need(m.name not in fields, f"{m.name} is a field and a member")
+                m = replace(m, name=f"{f.name}.{m.name}")
                 record_of[m.name] = f.name
                 fields[m.name] = m
         units = o.get("units", {})
@@ -145,7 +158,29 @@ class Schema:
         units = {**used.units(), **units}
         relations = tuple(Schema._relation(r, fields, record_of) for r in o.get("relations", ()))
         _need(len({r.id for r in relations}) == len(relations), "relations repeat an id")
-        return Schema(fields, UnitTable(units), relations, record_of, digest("schema", [_plain(o), used.digests()] if used.packs else _plain(o)), used.vocabulary())
+        checks = Schema._checks(o.get("checks", []), fields)
+        return Schema(fields, UnitTable(units), relations, checks, record_of, digest("schema", [_plain(o), used.digests()] if used.packs else _plain(o)), used.vocabulary())
+
+    @staticmethod
+    def _checks(given: Any, fields: Mapping[str, Field]) -> tuple[Check, ...]:
+        _need(isinstance(given, (list, tuple)), "checks is not a list")
+        out: list[Check] = []
+        for obj in given:
+            c = _closed(obj, {"id", "check", "field", "member", "compare"}, "a check")
+            _need(isinstance(c.get("id"), str) and bool(c["id"].strip()) and c["id"] not in {x.id for x in out}, "a check has no id, or repeats one")
+            name = f"check {c['id']}"
+            _need(c.get("check") in CHECKS, f"{name}: kind")
+            f = fields.get(c["field"]) if isinstance(c.get("field"), str) else None
+            _need(f is not None and f.type == "record", f"{name}: field is no record")
+            _need(c.get("member") in f.members and f.members[c["member"]].required, f"{name}: member is no required member")
+            compare = c.get("compare")
+            if c["check"] == "agree":
+                ok = isinstance(compare, (list, tuple)) and len(compare) > 0 and all(isinstance(x, str) for x in compare)
+                _need(ok and len(set(compare)) == len(compare) and all(x in f.members and x != c["member"] for x in compare), f"{name}: compare")
+            else:
+                _need("compare" not in c, f"{name}: only agree has compare")
+            out.append(Check(c["id"], c["check"], f.name, c["member"], tuple(compare or ())))
+        return tuple(out)
 
     @staticmethod
     def _relation(obj: Any, fields: Mapping[str, Field], record_of: Mapping[str, str]) -> Relation:

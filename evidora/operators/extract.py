@@ -205,10 +205,18 @@ def structure_candidates(docs: DataFrame, schema: Mapping[str, Any], id_col: str
 def without_rounded(values: DataFrame, keys: Sequence[str], value: str, place: str) -> DataFrame:
     """Rows without those that another value of the same keys, of a finer place, rounds to.
 
-    Decimals: a row goes if a finer row lies within half of its place. Equi join on the keys, then the band.
+    Decimals; a value is a multiple of its place. Each value is rounded, both ways at a half, to every coarser place that its keys
+    have: few, and each rounded value once. So rows meet what they round to by an equi join, without pairs of a band.
     """
-    x = values.withColumn("_row", F.monotonically_increasing_id())
-    y = values.select(*keys, F.col(value).alias("_v"), F.col(place).alias("_p")).distinct()
-    near = (F.col("_p") < F.col(place)) & (F.abs(F.col(value) - F.col("_v")) <= F.col(place) / 2) & (F.col(value) != F.col("_v"))
-    gone = x.join(y, list(keys)).filter(near).select("_row").distinct()
-    return x.join(gone, "_row", "left_anti").drop("_row")
+    exact = "decimal(38,10)"
+    v, p = F.col(value).cast(exact), F.col(place).cast(exact)
+    fine = values.select(*keys, v.alias("_v"), p.alias("_p")).distinct()
+    coarse = values.select(*keys, p.alias("_to")).distinct()
+    steps = F.floor((F.col("_v") / F.col("_to")).cast(exact))
+    low = (steps * F.col("_to")).cast(exact)
+    gap = (F.col("_v") - low).cast(exact)
+    near = F.array(F.when(gap * 2 <= F.col("_to"), low), F.when(gap * 2 >= F.col("_to"), (low + F.col("_to")).cast(exact)))
+    hit = fine.join(coarse, list(keys)).filter(F.col("_to") > F.col("_p")).select(*keys, "_v", "_to", F.explode(near).alias("_at"))
+    hit = hit.filter(F.col("_at").isNotNull() & (F.col("_at") != F.col("_v"))).select(*keys, "_to", "_at").distinct()
+    rows = values.withColumns({"_to": p, "_at": v})
+    return rows.join(hit, [*keys, "_to", "_at"], "left_anti").select(*values.columns)

@@ -10,12 +10,15 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from decimal import MAX_EMAX, MAX_PREC, MIN_EMIN, Context, Decimal
 from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
+from ..arrow import pieces
 from ..kernel.gate import FLAG_ORDER, INFO_ORDER
 from ..kernel.schema import Policy, Schema
 from ..tables import materialize
@@ -23,6 +26,8 @@ from . import sets
 
 #: Candidates that one call of the text rules takes.
 SLICE = 256
+#: Code of each kind of set check (fixed values).
+SET_CODES = {"replace": "SET_REPLACES_NOTHING", "unique": "SET_DUPLICATE", "agree": "SET_CONFLICT"}
 DECISION = (
     "doc_id string, pos int, candidate_id string, candidate_sha256 string, field string, key string, proposer string, record string, "
     "outcome string, codes array<string>, value string, unit string, source string, ref string, url string, start long, `end` long, "
@@ -54,7 +59,7 @@ def decisions(packets: DataFrame, schema: dict[str, Any], policy: dict[str, Any]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s, p, given = sent.value
         schema, policy = Schema.of(s, given), Policy.of(p)
-        for b in batches:
+        for b in pieces(batches, 1):
             out = []
             for r in b.to_pylist():
                 out += _decide(r, schema, policy)
@@ -63,6 +68,36 @@ def decisions(packets: DataFrame, schema: dict[str, Any], policy: dict[str, Any]
     return rows.mapInArrow(run, DECISION)
 
 
+def _check_extras(extras: dict[str, Any], text: str) -> None:
+    """References, the read state and places of a packet. Raises PacketError."""
+    import unicodedata
+
+    from ..kernel.schema import PacketError
+
+    def need(ok: bool, what: str) -> None:
+        if not ok:
+            raise PacketError(what)
+
+    whole = lambda x: isinstance(x, int) and not isinstance(x, bool)
+    refs = extras.get("references", [])
+    need(isinstance(refs, list) and all(isinstance(x, dict) and isinstance(x.get("id"), str) and x["id"].strip() and isinstance(x.get("text"), str) for x in refs), "a reference has no id or no text")
+    need(len({x["id"] for x in refs}) == len(refs), "references repeat an id")
+    need(all(unicodedata.is_normalized("NFC", x["text"]) for x in refs), "a reference is not in NFC")
+    at = [x["set"] for x in refs if x.get("set") is not None]
+    need(all(whole(n) and 1 <= n <= 1_000_000 for n in at) and len(set(at)) == len(at), "positions in the set")
+    missing = extras.get("missing_pages", [])
+    need(isinstance(missing, list) and all(whole(n) and n >= 1 for n in missing), "missing pages are page numbers")
+    need(not missing or extras.get("read_complete", True) is False, "a text with missing pages is not complete")
+    places = extras.get("places", [])
+    need(all(isinstance(x, list) and len(x) >= 3 and all(map(whole, x[:3])) for x in places), "a place has a start, an end and a page")
+    size = len(text.encode())
+    need(all(0 <= x[0] < x[1] <= size and x[2] >= 1 for x in places), "a place is outside of the text")
+    need(all(x[1] <= y[0] and x[2] <= y[2] for x, y in zip(places, places[1:], strict=False)), "places are not in order")
+    if places and not text.isascii():
+        held = text.encode()
+        need(all(held[i] & 0xC0 != 0x80 for x in places for i in x[:2] if i < size), "a place cuts a character")
+
+
 def _decide(r: dict[str, Any], schema: Schema, policy: Policy) -> list[dict[str, Any]]:
     import unicodedata
 
@@ -76,6 +111,7 @@ def _decide(r: dict[str, Any], schema: Schema, policy: Policy) -> list[dict[str,
         if not r["text"].isascii() and not unicodedata.is_normalized("NFC", r["text"]):
             raise PacketError("the text is not in NFC")
         extras = loads(r["extras"]) if r["extras"] else {}
+        _check_extras(extras, r["text"])
         doubt = [(d["start"], d["end"], d["confidence"]) for d in extras.get("doubt", ())]
         if any(a >= b for a, b, _ in doubt) or any(x[1] > y[0] for x, y in zip(doubt, doubt[1:], strict=False)):
             raise PacketError("doubt spans are not in order")
@@ -136,61 +172,87 @@ def judged(rows: DataFrame, judgments: DataFrame, policy: dict[str, Any]) -> Dat
     return rows.withColumn("outcome", F.when(F.col("outcome") == "rejected", "rejected").when(flags > 0, "needs_verification").otherwise("admitted"))
 
 
-def cross_checks(rows: DataFrame, schema: dict[str, Any], policy: dict[str, Any] | None = None, packs: tuple[dict[str, Any], ...] = ()) -> DataFrame:
-    """Flags that candidates give each other: conflicts, agreement between proposers, relations, records."""
+def cross_checks(rows: DataFrame, schema: dict[str, Any], policy: dict[str, Any] | None = None, packs: tuple[dict[str, Any], ...] = (), positions: DataFrame | None = None) -> DataFrame:
+    """Flags that candidates give each other: conflicts, agreement between proposers, relations, records. positions: (doc_id, ref, position) of references in the document's set."""
     s, p = Schema.of(schema, packs), Policy.of(policy)
     single = [n for n, f in s.fields.items() if not f.multiple and n not in s.record_of]
+    rows = rows.withColumn("_k", F.coalesce("key", F.lit("")))
     live = rows.filter((F.col("outcome") != "rejected") & F.col("packet_error").isNull())
     key = ["doc_id", "field", "_k"]
-    rows, live = (x.withColumn("_k", F.coalesce("key", F.lit(""))) for x in (rows, live))
     ends = live.filter(F.col("field").isin(single)).groupBy(*key).agg(F.min(F.struct("value", "unit")).alias("_a"), F.max(F.struct("value", "unit")).alias("_b"))
     clash = ends.filter(~F.col("_a").eqNullSafe(F.col("_b"))).select(*key, F.lit(True).alias("_clash"))
     rows = _add(rows.join(clash, key, "left"), "CONFLICTING_CANDIDATES", F.coalesce("_clash", F.lit(False))).drop("_clash")
-    if p.proposers:
-        rows = _agreement(rows, live, p)
+    if "corroborate" in p.proposers.values():
+        rows = _agreement(rows, s, p)
     for r in s.relations:
         rows = _relation(rows, live, s, r)
-    for f in s.fields.values():
-        if f.members:
-            rows = _record_flags(rows, f)
+    for f in [f for f in s.fields.values() if f.members]:
+        bad = record_lines(rows, s, f, positions).filter(F.col("outcome") != "admitted").select("doc_id", "record", F.lit(True).alias("_bad"))
+        rows = rows.join(bad, ["doc_id", "record"], "left")
+        rows = _add(rows, "RECORD_NOT_ADMITTED", F.coalesce("_bad", F.lit(False)) & F.col("field").isin(_member_fields(f))).drop("_bad")
     return rows.withColumn("codes", _ordered(F.col("codes"))).drop("_k")
 
 
-def _agreement(rows: DataFrame, live: DataFrame, p: Policy) -> DataFrame:
-    careful = [k for k, v in p.proposers.items() if v == "corroborate"]
-    same = ["doc_id", "field", "_k", "value"]
-    who = F.coalesce("proposer", F.lit(""))
-    spans = live.filter(F.col("start").isNotNull()).select(*same, "pos", who.alias("who"), F.concat_ws(":", "source", F.coalesce("ref", F.lit(""))).alias("in_text"), "start", "end")
-    x, y = spans.alias("x"), spans.drop("pos").distinct().alias("y")
-    on = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in same] + [F.col("x.who") != F.col("y.who")]
-    meets = (F.col("x.in_text") == F.col("y.in_text")) & (F.col("x.start") < F.col("y.end")) & (F.col("y.start") < F.col("x.end"))
-    either = F.col("x.who").isin(careful) | F.col("y.who").isin(careful)
-    found = x.join(y, on).groupBy("x.doc_id", "x.pos").agg(F.bool_or(meets).alias("_agrees"), F.bool_or(~meets & either).alias("_apart"))
-    rows = rows.join(found, ["doc_id", "pos"], "left")
-    inside = F.col("start").isNotNull()
-    rows = _add(rows, "NOT_CORROBORATED", inside & F.coalesce("proposer", F.lit("")).isin(careful) & ~F.coalesce("_agrees", F.lit(False)))
-    return _add(rows, "OTHER_SPAN", inside & F.coalesce("_apart", F.lit(False))).drop("_agrees", "_apart")
+def _member_fields(f) -> list[str]:
+    return [f"{f.name}.{m}" for m in f.members]
 
 
-def relation_results(live: DataFrame, s: Schema, r) -> DataFrame:
-    """(doc_id, id, _k, difference, allowance, holds) of each key at which a relation applies.
+def _agreement(rows: DataFrame, s: Schema, p: Policy) -> DataFrame:
+    """Candidates of one field, key and value with spans in one text: whether another proposer's span meets a row's span, and whether one lies elsewhere.
 
-    Values of up to 28 digits before and 10 after the point are summed as exact decimals; a relation with a longer one fails.
+    Reads the furthest edges of each proposer that must be corroborated, and of all others together, in windows of the group:
+    no pairs of candidates are made.
     """
-    exact = "decimal(38,10)"
-    factors = {r.total: "1", **{n: str(-f) for n, f in r.parts}}
+    firm = sorted(k for k, v in p.proposers.items() if v == "corroborate")
+    own = F.when(F.col("proposer").isin(firm), F.col("proposer"))  # null: one of all others
+    live = (F.col("outcome") != "rejected") & F.col("packet_error").isNull() & F.col("start").isNotNull()
+    rows = rows.withColumns({"_who": own, "_live": live})
+    group = W.partitionBy("doc_id", "field", "_k", "value", "source", F.coalesce("ref", F.lit("")))
+    order = group.orderBy("start", "pos")
+    before, after = order.rowsBetween(W.unboundedPreceding, -1), order.rowsBetween(1, W.unboundedFollowing)
+    edges = {}
+    for i, name in enumerate([*firm, None]):
+        mine = F.col("_live") & F.col("_who").eqNullSafe(F.lit(name))
+        edges |= {f"_far{i}": F.max(F.when(mine, F.col("end"))).over(before), f"_near{i}": F.min(F.when(mine, F.col("start"))).over(after)}
+        edges |= {f"_last{i}": F.max(F.when(mine, F.col("start"))).over(group), f"_first{i}": F.min(F.when(mine, F.col("end"))).over(group)}
+    rows = rows.withColumns(edges)
+    agrees = apart = F.lit(False)
+    for i, name in enumerate([*firm, None]):
+        other = ~F.col("_who").eqNullSafe(F.lit(name))  # of two loose proposers none must be corroborated
+        agrees = agrees | other & F.coalesce((F.col(f"_far{i}") > F.col("start")) | (F.col(f"_near{i}") < F.col("end")), F.lit(False))
+        apart = apart | other & F.coalesce((F.col(f"_last{i}") >= F.col("end")) | (F.col(f"_first{i}") <= F.col("start")), F.lit(False))
+    own_place = [n for n, f in s.fields.items() if f.multiple or n in s.record_of]
+    rows = rows.withColumns({"_agrees": agrees, "_apart": apart & ~F.col("field").isin(own_place) if own_place else apart})
+    rows = _add(rows, "NOT_CORROBORATED", F.col("_live") & F.col("_who").isNotNull() & ~F.col("_agrees"))
+    return _add(rows, "OTHER_SPAN", F.col("_live") & F.col("_apart")).drop("_agrees", "_apart", "_who", "_live", *edges)
+
+
+def relation_results(live: DataFrame, s: Schema, r) -> DataFrame:
+    """(doc_id, id, _k, difference, allowance, holds) of each key at which a relation applies; exact decimals of any length, as text."""
+    factors = {r.total: Decimal(1), **{n: -f for n, f in r.parts}}
     own = live.filter(F.col("field").isin(list(factors)))
-    one = own.groupBy("doc_id", "_k", "field").agg(F.min("value").alias("value"), F.max("value").alias("other"), F.min(F.expr(f"try_cast(place AS {exact})")).alias("place"))
-    f = F.create_map(*(x for n, v in factors.items() for x in (F.lit(n), F.lit(v))))[F.col("field")].cast("decimal(18,6)")
-    value = F.expr(f"try_cast(value AS {exact})")
-    sums = one.groupBy("doc_id", "_k").agg(
-        F.count("*").alias("fields"), F.bool_and(F.col("value") == F.col("other")).alias("single"),
-        F.sum((f * value).cast(exact)).alias("difference"), F.sum((F.abs(f) * F.col("place") / 2).cast(exact)).alias("half"), F.count(value).alias("read"),
-    )
-    sums = sums.filter((F.col("fields") == len(factors)) & F.col("single"))
-    allowance = (F.lit(str(r.tolerance)).cast("decimal(28,10)") + F.col("half")).cast(exact)
-    holds = (F.col("read") == len(factors)) & (F.abs("difference") <= allowance)
-    return sums.select("doc_id", F.lit(r.id).alias("id"), "_k", "difference", allowance.alias("allowance"), F.coalesce(holds, F.lit(False)).alias("holds"))
+    ends = own.groupBy("doc_id", "_k", "field").agg(F.min("value").alias("value"), F.max("value").alias("other"), F.collect_set("place").alias("places"))
+    one = ends.groupBy("doc_id", "_k").agg(F.count("*").alias("n"), F.bool_and(F.col("value") == F.col("other")).alias("single"), F.collect_list(F.struct("field", "value", "places")).alias("values"))
+    one = one.filter((F.col("n") == len(factors)) & F.col("single")).select("doc_id", "_k", "values")
+    tolerance, name = r.tolerance, r.id
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from ..kernel.text import plain
+
+        exact = Context(prec=MAX_PREC, Emax=MAX_EMAX, Emin=MIN_EMIN)
+        for b in batches:
+            out = []
+            for row in b.to_pylist():
+                difference, allowance = Decimal(0), tolerance
+                for v in row["values"]:
+                    f = factors[v["field"]]
+                    half = exact.multiply(min(map(Decimal, v["places"]), default=Decimal(1)), Decimal("0.5"))
+                    difference = exact.add(difference, exact.multiply(f, Decimal(v["value"])))
+                    allowance = exact.add(allowance, exact.multiply(exact.abs(f), half))
+                out.append({"doc_id": row["doc_id"], "id": name, "_k": row["_k"], "difference": plain(difference), "allowance": plain(allowance), "holds": exact.abs(difference) <= allowance})
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([*((c, pa.string()) for c in ("doc_id", "id", "_k", "difference", "allowance")), ("holds", pa.bool_())]))
+
+    return one.mapInArrow(check, "doc_id string, id string, _k string, difference string, allowance string, holds boolean")
 
 
 def _relation(rows: DataFrame, live: DataFrame, s: Schema, r) -> DataFrame:
@@ -201,39 +263,78 @@ def _relation(rows: DataFrame, live: DataFrame, s: Schema, r) -> DataFrame:
     return _add(rows, "RELATION_FAILED", fails).drop("_fails")
 
 
-def record_lines(rows: DataFrame, f) -> DataFrame:
-    """(doc_id, field, record, outcome, codes, members): the records of one record field."""
-    own = rows.filter(F.col("field").isin(list(f.members)) & F.col("record").isNotNull())
-    live = F.when(F.col("outcome") != "rejected", F.col("value"))
+def record_lines(rows: DataFrame, s: Schema, f, positions: DataFrame | None = None) -> DataFrame:
+    """(doc_id, field, record, outcome, codes, source, ref, replaced, members): the records of one record field after the checks of its document set.
+
+    Each check reads windows of (document, value of its member). positions: (doc_id, ref, position) of the references in a set.
+    """
+    names = _member_fields(f)
+    own = rows.filter(F.col("field").isin(names) & F.col("record").isNotNull() & F.col("packet_error").isNull())
+    passed = F.col("outcome") != "rejected"
+    outside = F.col("source").isin("external", "knowledge")
+    text = F.when(passed, F.when(outside, F.concat(F.lit("own "), F.col("pos").cast("string"))).otherwise(F.concat_ws(" ", "source", "ref")))
     agg = []
-    for m in f.members:
-        v = F.when(F.col("field") == m, live)
+    for m, name in zip(f.members, names, strict=True):
+        v = F.when(passed & (F.col("field") == name), F.col("value"))
         agg += [F.min(v).alias(f"_a_{m}"), F.max(v).alias(f"_b_{m}")]
-    out = own.groupBy("doc_id", "record").agg(F.bool_or((F.col("outcome") == "needs_verification")).alias("_review"), *agg)
-    missing = [F.col(f"_a_{m}").isNull() for m, x in f.members.items() if x.required] or [F.lit(False)]
-    clash = [F.coalesce(F.col(f"_a_{m}") != F.col(f"_b_{m}"), F.lit(False)) for m in f.members]
-    either = lambda cs: F.exists(F.array(*cs), lambda x: x)
-    empty = F.forall(F.array(*(F.col(f"_a_{m}") for m in f.members)), lambda x: x.isNull())
-    codes = F.filter(F.array(F.when(either(missing), F.lit("MEMBER_MISSING")), F.when(either(clash), F.lit("MEMBER_CONFLICT"))), lambda x: x.isNotNull())
-    members = F.map_from_arrays(F.array(*(F.lit(m) for m in f.members)), F.array(*(F.col(f"_a_{m}") for m in f.members)))
-    outcome = F.when(empty, "rejected").when((F.size(codes) > 0) | F.col("_review"), "needs_verification").otherwise("admitted")
-    return out.select("doc_id", F.lit(f.name).alias("field"), "record", outcome.alias("outcome"), codes.alias("codes"), F.map_filter(members, lambda k, v: v.isNotNull()).alias("members"))
-
-
-def _record_flags(rows: DataFrame, f) -> DataFrame:
-    bad = record_lines(rows, f).filter(F.col("outcome") != "admitted").select("doc_id", "record", F.lit(True).alias("_bad"))
-    rows = rows.join(bad, ["doc_id", "record"], "left")
-    return _add(rows, "RECORD_NOT_ADMITTED", F.coalesce("_bad", F.lit(False)) & F.col("field").isin(list(f.members))).drop("_bad")
+    agg += [F.bool_or(F.col("outcome") == "needs_verification").alias("_review"), F.min(text).alias("_t"), F.max(text).alias("_u"), F.min(F.when(passed, F.struct("source", "ref"))).alias("_from")]
+    out = own.groupBy("doc_id", "record").agg(*agg)
+    either = lambda cs: F.exists(F.array(*cs), lambda x: x) if cs else F.lit(False)
+    missing = F.col("_t").isNull() | either([F.col(f"_a_{m}").isNull() for m, x in f.members.items() if x.required])
+    clash = either([F.coalesce(F.col(f"_a_{m}") != F.col(f"_b_{m}"), F.lit(False)) for m in f.members])
+    mixed = F.coalesce(F.col("_t") != F.col("_u"), F.lit(False))
+    out = out.withColumns({
+        "_missing": missing, "_clash": clash, "_mixed": mixed, "source": F.when(~mixed, F.col("_from.source")), "ref": F.when(~mixed, F.col("_from.ref")),
+        **{f"_v_{m}": F.when(F.col(f"_a_{m}") == F.col(f"_b_{m}"), F.col(f"_a_{m}")) for m in f.members},
+    })
+    position = F.when(F.col("source") == "document", F.lit(0))
+    if positions is not None:
+        out = out.join(positions.select("doc_id", "ref", F.col("position").cast("int").alias("_set")), ["doc_id", "ref"], "left")
+        position = position.when(F.col("source") == "reference", F.col("_set"))
+    out = out.withColumns({"_at": position.cast("int"), "replaced": F.lit(False), **{f"_c_{k}": F.lit(False) for k in SET_CODES}})
+    for c in sorted((c for c in s.checks if c.field == f.name), key=lambda c: (c.check != "replace", c.id)):
+        v = F.col(f"_v_{c.member}")
+        alive = ~F.col("_missing") & F.col("_at").isNotNull() & v.isNotNull()
+        alive = alive if c.check == "replace" else alive & ~F.col("replaced")
+        group = W.partitionBy("doc_id", "_alive", v)
+        out = out.withColumn("_alive", alive)
+        low, high = F.min("_at").over(group), F.max("_at").over(group)
+        if c.check == "replace":
+            hit, more = (F.col("_at") == low) & (low > 0), {"replaced": F.col("replaced") | F.col("_alive") & (F.col("_at") < high)}
+        elif c.check == "unique":
+            hit, more = F.count("*").over(group) > 1, {}
+        else:
+            differ = either([F.coalesce(F.min(f"_v_{m}").over(group) != F.max(f"_v_{m}").over(group), F.lit(False)) for m in c.compare])
+            hit, more = (low < high) & differ, {}
+        out = out.withColumns({f"_c_{c.check}": F.col(f"_c_{c.check}") | F.col("_alive") & hit, **more})
+    codes = [F.when(F.col(n), F.lit(code)) for n, code in (("_missing", "RECORD_MEMBER_MISSING"), ("_clash", "RECORD_MEMBER_CONFLICT"), ("_mixed", "RECORD_SOURCE_MIXED"), *((f"_c_{k}", code) for k, code in SET_CODES.items()))]
+    codes = F.filter(F.array(*codes), lambda x: x.isNotNull())
+    members = F.map_from_arrays(F.array(*(F.lit(m) for m in f.members)), F.array(*(F.col(f"_v_{m}") for m in f.members)))
+    outcome = F.when(F.col("_missing"), "rejected").when((F.size(codes) > 0) | F.coalesce("_review", F.lit(False)), "needs_verification").otherwise("admitted")
+    return out.select("doc_id", F.lit(f.name).alias("field"), "record", outcome.alias("outcome"), codes.alias("codes"), "source", "ref", "replaced", F.map_filter(members, lambda k, v: v.isNotNull()).alias("members"))
+
+
+def set_positions(packets: DataFrame, id_col: str, extras_col: str) -> DataFrame:
+    """(doc_id, ref, position) of the references that a packet's document set has."""
+    refs = F.from_json(F.get_json_object(F.col(extras_col), "$.references"), "array<struct<id:string,set:int>>")
+    each = packets.select(F.col(id_col).cast("string").alias("doc_id"), F.explode(refs).alias("r"))
+    return each.filter(F.col("r.set").isNotNull()).select("doc_id", F.col("r.id").alias("ref"), F.col("r.set").alias("position"))
 
 
 def coverage(packets: DataFrame, rows: DataFrame, schema: dict[str, Any], id_col: str = "doc_id") -> DataFrame:
     """(doc_id, field, code): required fields without a live decision, of every valid document."""
-    required = [n for n, f in Schema.of(schema).fields.items() if f.required and n not in Schema.of(schema).record_of and f.type != "record"]
+    s = Schema.of(schema)
+    required = [n for n, f in s.fields.items() if f.required and n not in s.record_of]
     if not required:
         return rows.select("doc_id", "field", F.lit("").alias("code")).limit(0)
     slots = packets.select(F.col(id_col).cast("string").alias("doc_id"), F.explode(F.array(*(F.lit(n) for n in sorted(required)))).alias("field")).distinct()
     slots = slots.join(rows.filter(F.col("packet_error").isNotNull()).select("doc_id"), "doc_id", "left_anti")
-    return sets.missing_required(slots, rows.filter(F.col("outcome") != "rejected"), ["doc_id", "field"])
+    live = rows.filter(F.col("outcome") != "rejected").select("doc_id", "field")
+    for f in s.fields.values():
+        if f.members and f.required:  # a record that is not rejected
+            lines = record_lines(rows, s, f).filter(F.col("outcome") != "rejected")
+            live = live.unionByName(lines.select("doc_id", "field"))
+    return sets.missing_required(slots, live, ["doc_id", "field"])
 
 
 def admit(packets: DataFrame, schema: dict[str, Any], policy: dict[str, Any] | None = None, judgments: DataFrame | None = None, packs: tuple[dict[str, Any], ...] = (), **options: Any) -> DataFrame:
@@ -247,7 +348,9 @@ def admit(packets: DataFrame, schema: dict[str, Any], policy: dict[str, Any] | N
         bad = invalid_judgments(rows, judgments).withColumn("_bad", F.lit("its judgments name no one candidate"))
         rows = rows.join(bad, "doc_id", "left").withColumn("packet_error", F.coalesce("packet_error", "_bad")).drop("_bad")
         rows = judged(rows, judgments, policy or {})
-    return cross_checks(rows, schema, policy, packs)
+    extras = options.get("extras_col")
+    positions = set_positions(packets, options.get("id_col", "doc_id"), extras) if extras and Schema.of(schema, packs).checks else None
+    return cross_checks(rows, schema, policy, packs, positions)
 
 
 def receipts(rows: DataFrame, schema: dict[str, Any], policy: dict[str, Any] | None = None) -> DataFrame:

@@ -106,6 +106,12 @@ def set_agree(rows: DataFrame, keys: Sequence[str], position: str, compare: Sequ
     return out.select(*keys, holds.alias("holds"))
 
 
+def strays(named: DataFrame, have: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(problem, keys): names without an object (missing), and objects that nothing names (orphan)."""
+    missing = named.join(have.select(*keys), list(keys), "left_anti").select(F.lit("missing").alias("problem"), *keys)
+    return missing.unionByName(have.join(named.select(*keys), list(keys), "left_anti").select(F.lit("orphan").alias("problem"), *keys))
+
+
 def verify_diff(left: DataFrame, right: DataFrame) -> DataFrame:
     """Rows that one side has and the other lacks, with multiplicity; side says which."""
     return left.exceptAll(right).withColumn("side", F.lit("left")).unionByName(right.exceptAll(left).withColumn("side", F.lit("right")))

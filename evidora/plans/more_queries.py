@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import calibration, extract, gate, measure, resolution, review, windows
+from ..operators import calibration, extract, gate, measure, resolution, review, sets, windows
 from ..session import ship
 from .gate_queries import _PLANTED, SCHEMA, _admitted
 from .registry import query, table
@@ -72,15 +72,14 @@ def completeness_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT 'missing' AS problem, l_orderkey AS key FROM (SELECT DISTINCT l_orderkey FROM lineitem) WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 11 <> 0)
-UNION ALL SELECT 'orphan', o_orderkey FROM orders WHERE o_orderkey % 11 <> 0 AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)
+SELECT 'missing' AS problem, doc_id AS key FROM (SELECT DISTINCT doc_id FROM labels) WHERE doc_id NOT IN (SELECT doc_id FROM documents)
+UNION ALL SELECT 'orphan', doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)
 """)
 def orphan_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names without an object, and objects without a name."""
-    have = table(spark, sf_dir, "orders").filter("o_orderkey % 11 <> 0").select(F.col("o_orderkey").alias("key"))
-    named = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("key")).distinct()
-    missing = named.join(have, "key", "left_anti").select(F.lit("missing").alias("problem"), "key")
-    return missing.unionByName(have.join(named, "key", "left_anti").select(F.lit("orphan").alias("problem"), "key"))
+    """Names (labels) without an object, and objects (documents) without a name."""
+    have = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"))
+    named = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("key")).distinct()
+    return sets.strays(named, have, ["key"])
 
 
 @query("SELECT e.event_id, c.c_name IS NULL AS missing FROM events e LEFT JOIN customer c ON c.c_custkey = e.user_id * 20")

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..kernel.canonical import PREFIX, canonical
+from ..operators.sets import strays
 from ..operators.windows import chain_check
 from ..tables import put_if_absent
 
@@ -138,6 +139,4 @@ class Store:
 
     def orphans(self, named: DataFrame) -> DataFrame:
         """(problem, kind, key): named (kind, key) without an object, and objects that nothing names."""
-        have = self.objects().select("kind", "key")
-        missing = named.join(have, ["kind", "key"], "left_anti").select(F.lit("missing").alias("problem"), "kind", "key")
-        return missing.unionByName(have.join(named, ["kind", "key"], "left_anti").select(F.lit("orphan").alias("problem"), "kind", "key"))
+        return strays(named, self.objects().select("kind", "key"), ["kind", "key"])

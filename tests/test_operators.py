@@ -1,10 +1,12 @@
 import itertools
+import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from evidora.operators import calibration, chunks, gate, quotes, review, sets, spans, windows
+from evidora.kernel.schema import PacketError, Schema
+from evidora.operators import calibration, chunks, extract, gate, quotes, review, sets, spans, windows
 
 SCHEMA = {
     "fields": {
@@ -18,8 +20,6 @@ SCHEMA = {
 
 
 def packet(doc, text, *candidates):
-    import json
-
     return doc, text, [json.dumps(c) for c in candidates]
 
 
@@ -72,8 +72,8 @@ def test_gate_agreement(spark):
 def test_gate_records(spark):
     schema = {"fields": {"items": {"type": "record", "members": {"code": {"type": "string", "required": True}, "price": {"unit": "USD"}}}}}
     text = "A1 costs $5, B2 costs $6."
-    code = lambda v, r: {"field": "code", "value": v, "record": r, "evidence": [{"text": v}]}
-    packets = spark.createDataFrame([packet("d", text, code("A1", "1"), usd("price", "5", "$5", record="1"), usd("price", "6", "$6", record="2"), code("B2", None))], "doc_id string, text string, candidates array<string>")
+    code = lambda v, r: {"field": "items.code", "value": v, "record": r, "evidence": [{"text": v}]}
+    packets = spark.createDataFrame([packet("d", text, code("A1", "1"), usd("items.price", "5", "$5", record="1"), usd("items.price", "6", "$6", record="2"), code("B2", None))], "doc_id string, text string, candidates array<string>")
     got = {r["pos"]: (r["outcome"], list(r["codes"])) for r in gate.admit(packets, schema).collect()}
     assert got == {0: ("admitted", []), 1: ("admitted", []), 2: ("needs_verification", ["RECORD_NOT_ADMITTED"]), 3: ("rejected", ["RECORD_INVALID"])}
 
@@ -206,3 +206,35 @@ def test_judgments(spark):
     assert got["c"][1] == got["d"][1] == ["KEY_NOT_AT_VALUE"]
     assert got["e"][1] == ["KEY_NOT_AT_VALUE", "MODEL_DOUBT"]
     assert not got["f"][2] and not got["g"][2]
+
+
+def test_without_rounded_against_all_pairs(spark):
+    from decimal import Decimal
+
+    r = random.Random(5)
+    rows = [(r.randrange(3), Decimal(r.randrange(-40, 400) * p), Decimal(p)) for p in (r.choice((1, 10, 100)) for _ in range(200))]
+    got = extract.without_rounded(spark.createDataFrame(rows, "k int, v decimal(18,0), p decimal(18,0)"), ["k"], "v", "p")
+    want = [(k, v, p) for k, v, p in rows if not any(kk == k and q < p and w != v and abs(w - v) * 2 <= p for kk, w, q in rows)]
+    assert sorted(map(tuple, got.collect())) == sorted(want) and 0 < len(want) < len(rows)
+
+
+def test_schema_checks_are_read():
+    record = {"type": "record", "members": {"code": {"type": "string", "required": True}, "price": {"unit": "USD"}}}
+    make = lambda *checks: Schema.of({"fields": {"items": record}, "checks": list(checks)})
+    good = {"id": "a", "check": "agree", "field": "items", "member": "code", "compare": ["price"]}
+    assert make(good).checks[0].compare == ("price",)
+    bad = [{**good, "check": "same"}, {**good, "field": "other"}, {**good, "member": "price"}, {**good, "compare": ["code"]}, {**good, "compare": []}, {**good, "check": "unique"}, {**good, "more": 1}]
+    for checks in ([good, good], *([b] for b in bad)):
+        with pytest.raises(PacketError):
+            make(*checks)
+
+
+def test_packet_is_checked(spark):
+    bad = [
+        {"references": [{"id": "r", "text": "a"}, {"id": "r", "text": "b"}]}, {"references": [{"id": "r", "text": "a", "set": 0}]}, {"places": [[0, 2, 1], [1, 3, 1]]},
+        {"places": [[1, 2, 1]]}, {"missing_pages": [1]}, {"doubt": [{"start": 2, "end": 1, "confidence": 0.5}]}, {"references": [{"id": "r"}]},
+    ]
+    rows = [(str(i), "ü is $5.", [json.dumps(usd("a", "5", "$5"))], json.dumps(x)) for i, x in enumerate([*bad, {"places": [[0, 2, 1], [2, 4, 2]]}])]
+    packets = spark.createDataFrame(rows, "doc_id string, text string, candidates array<string>, extras string")
+    got = {r["doc_id"]: r["packet_error"] for r in gate.admit(packets, SCHEMA, extras_col="extras").collect()}
+    assert [i for i, e in got.items() if e is None] == [str(len(bad))] and len(got) == len(rows)
