@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import ctypes
 import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..arrow import give_back as give_back
+from ..arrow import pieces as pieces
 from ..session import ship as ship
 from ..tables import materialize as materialize
 from ..tables import new_path as new_path
@@ -24,28 +24,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The batches, cut so that the texts of a piece have about `most` bytes together; a longer text is a piece of its own."""
-    for b in batches:
-        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-        at = 0
-        while at < b.num_rows:
-            before = ends[at - 1] if at else 0
-            stop = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
-            yield b.slice(at, stop - at)
-            at = stop
-    give_back()
-
-
-def give_back() -> None:
-    """Return what a task no longer holds to the system: Python workers live on, and so would the most that each has held."""
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-    except (OSError, AttributeError):  # another C library
-        pass
-
-
 def keep_rows(docs: DataFrame, text_col: str, keep: Callable[[list[str | None]], list[bool]]) -> DataFrame:
     """The rows of docs, columns as they are, for whose texts `keep` says so; it is asked piece by piece."""
     column = docs.columns.index(text_col)

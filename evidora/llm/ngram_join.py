@@ -121,7 +121,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
     joined = pairs.join(first, "a").join(second, "b").select("a", "b", "ta", "tb")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
+        for whole in pieces(batches, 2, 1 << 20):
             for s in range(0, whole.num_rows, 500):
                 b = whole.slice(s, 500)
                 seen: dict[str, int] = {}
@@ -152,8 +152,8 @@ def _distances(sets: list[np.ndarray]) -> np.ndarray:
     return 1 - both / (size[:, None] + size[None, :] - both)
 
 
-#: Nodes of a block in which pairs of a bucket are verified.
-BLOCK = 256
+#: Nodes and characters of a block in which pairs of a bucket are verified, or the links of a class are counted.
+BLOCK, COUNT_BLOCK, BLOCK_CHARS = 512, 512, 4 << 20
 
 
 def _in_blocks(state: DataFrame, texts: DataFrame, n: int, limit: float) -> DataFrame:
@@ -161,8 +161,10 @@ def _in_blocks(state: DataFrame, texts: DataFrame, n: int, limit: float) -> Data
 
     A bucket is a grid of blocks; each cell is verified by one task, on shingle sets. A pair is verified in the least bucket that it shares.
     """
-    cells = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).cast("int")
-    rows = state.withColumn("cells", cells).withColumn("own", F.pmod(F.xxhash64("node", "bucket"), F.col("cells")).cast("int"))
+    chars = materialize(state.join(texts.select("node", F.length("text").cast("long").alias("chars")), "node"), "sized")
+    cells = F.greatest(F.lit(1), F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("chars") / BLOCK_CHARS)).cast("int")
+    grid = materialize(chars.groupBy("bucket").agg(cells.alias("cells")), "cells")
+    rows = chars.drop("chars").join(small_side(grid), "bucket").withColumn("own", F.pmod(F.xxhash64("node", "bucket"), F.col("cells")).cast("int"))
     rows = rows.join(texts, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
     rows = rows.select("bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "label", "bands", "text")
     rows = rows.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
@@ -203,10 +205,6 @@ def _in_blocks(state: DataFrame, texts: DataFrame, n: int, limit: float) -> Data
     return rows.mapInArrow(verify, "a binary, b binary, d double").distinct()
 
 
-#: Nodes and characters of a block in which the links of a class are counted.
-COUNT_BLOCK, COUNT_CHARS = 512, 4 << 20
-
-
 def link_counts(texts: DataFrame, roots: DataFrame, n: int, limit: float) -> DataFrame:
     """(node, n_links): the nodes within the limit of each node; texts: (node, text, bands), roots: (node, root) of components.
 
@@ -223,7 +221,7 @@ def link_counts(texts: DataFrame, roots: DataFrame, n: int, limit: float) -> Dat
     whole = members.join(parted, "root", "left_anti").select("root", F.lit(0).cast("long").alias("bucket"), "node", "chars", F.lit(None).cast("array<long>").alias("bands"))
     some = in_bands.join(parted, "root", "left_semi").select("root", "bucket", "node", "chars", "bands")
     groups = materialize(whole.unionByName(some), "groups")
-    cells = F.greatest(F.lit(1), F.ceil(F.count("*") / COUNT_BLOCK), F.ceil(F.sum("chars") / COUNT_CHARS)).cast("int")
+    cells = F.greatest(F.lit(1), F.ceil(F.count("*") / COUNT_BLOCK), F.ceil(F.sum("chars") / BLOCK_CHARS)).cast("int")
     grid = materialize(groups.groupBy("root", "bucket").agg(F.count("*").alias("n"), cells.alias("cells")).filter("n > 1").drop("n"), "grid")
     rows = groups.join(small_side(grid), ["root", "bucket"]).withColumn("own", F.pmod(F.xxhash64("node", "bucket"), F.col("cells")).cast("int"))
     rows = rows.join(texts.select("node", "text"), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))

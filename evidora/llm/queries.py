@@ -17,7 +17,7 @@ from .ngram_join import ngram_join
 from .secret_scan import secret_scan
 from .sharding import ShardStore, free_name, shard
 from .source_mixing import source_mixing
-from .token_packing import token_packing
+from .token_packing import packed_rows, token_packing, write_packed
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,7 +40,7 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = token_packing(read(spark, sf_dir, "documents"))
+    out = packed_rows(write_packed(token_packing(read(spark, sf_dir, "documents")), new_path(spark, "packed")))
     return out.select("grp", "row", "n_tokens", "width", F.size("segments").alias("n_segments"), "cu_seqlens", F.transform("segments", lambda s: s["id"]).alias("doc_ids"), F.transform("segments", lambda s: s["start"]).alias("starts"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("positions", 256).alias("positions_sha256"))
 
 

@@ -5,10 +5,11 @@ characters), `access` (AKIA and capitals or digits, 16 or more in all) and `hex`
 hexadecimal digits).
 
 Token efficiency: a run of key characters is split by a tiktoken vocabulary; prose and names need few tokens
-for their characters, random strings many. A run of at least MIN_RUN characters from at least two of the
-classes lower case, capitals, digits, whose characters per token fall below MAX_RATIO, is reported as kind
-`token`. Excluded first: runs that overlap a pattern's span, digests (hexadecimal of the usual lengths), UUIDs,
-numbers, dotted or slashed paths, and identifiers made of words joined by `_` or `-` or by capitals.
+for their characters, random strings many. A run of at least MIN_RUN characters whose characters per token fall
+below MAX_RATIO is reported as kind `token`. Where a run is not, its parts between `/` and `=` are tried as runs of their
+own, so that a key in a path or after a name is found. Excluded first: runs that overlap a pattern's span, digests
+(hexadecimal of the usual lengths), UUIDs, numbers, rows of one or two characters, and identifiers made of words joined by
+`_` or `-`, by slashes or by capitals.
 
 Defined results: a null or empty text has no spans; spans are in code points, ends exclusive; rows are kept
 one for one.
@@ -31,8 +32,9 @@ HEX = re.compile(r"[0-9a-f]+")
 HEX_LONG = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex")
 
-MIN_RUN, MAX_RATIO = 20, 2.0
+MIN_RUN, MAX_RATIO = 16, 2.0
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_RUN)
+PART = re.compile(r"[A-Za-z0-9+_-]{%d,}" % MIN_RUN)
 UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 DIGEST = re.compile(r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128})")
 NAME = re.compile(r"[A-Za-z]{2,}[0-9]{0,4}(?:[_/-]+(?:[A-Za-z]{2,}[0-9]{0,4}|[0-9]{1,4}))*=*")
@@ -50,15 +52,15 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def excluded(run: str) -> bool:
-    """A known digest, a number or an identifier."""
-    if DIGEST.fullmatch(run) or UUID.fullmatch(run) or run.isdigit():
+    """A known digest, a number or an identifier of several words."""
+    if DIGEST.fullmatch(run) or UUID.fullmatch(run) or run.isdigit() or len(set(run)) < 3:
         return True
-    if sum((any(c.islower() for c in run), any(c.isupper() for c in run), any(c.isdigit() for c in run))) < 2:
-        return True
-    if NAME.fullmatch(run):
-        words = [w for w in CAMEL.findall(run) if not w.isdigit()]
-        return not words or sum(map(len, words)) / len(words) >= 3
-    return False
+    if not NAME.fullmatch(run):
+        return not any(c.isalpha() for c in run)
+    words = [w for w in CAMEL.findall(run) if not w.isdigit()]
+    if len(words) == 1:  # one word or random letters, which the ratio tells apart
+        return False
+    return not words or sum(map(len, words)) / len(words) >= 3
 
 
 class Scanner:
@@ -69,13 +71,19 @@ class Scanner:
 
         self.encoding = tiktoken.Encoding("scan", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
+    def _random(self, run: str) -> bool:
+        return not excluded(run) and len(run) / len(self.encoding.encode_ordinary(run)) < MAX_RATIO
+
     def token_spans(self, text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
         out = []
         for m in RUN.finditer(text):
-            if any(s < m.end() and m.start() < e for s, _, e in taken) or excluded(m[0]):
+            near = [(s, e) for s, _, e in taken if s < m.end() and m.start() < e]
+            if not near and self._random(m[0]):
+                out.append(m.span())
                 continue
-            if len(m[0]) / len(self.encoding.encode_ordinary(m[0])) < MAX_RATIO:
-                out.append((m.start(), m.end()))
+            for x in PART.finditer(text, *m.span()):
+                if x.span() != m.span() and not any(s < x.end() and x.start() < e for s, e in near) and self._random(x[0]):
+                    out.append(x.span())
         return out
 
 

@@ -1,13 +1,15 @@
 """Immutable shards with size-tiered compaction and versioned manifests.
 
 A store is a folder. append() writes an arrival as small Parquet files, which never change; compact() merges
-runs of similar size (a tier: sizes within a factor of `fanout`) into files of about `target_bytes`. Which files make up
-the store is said by manifests alone: `manifest/v<number>` names an entries table, and is committed by renaming
-a finished file to a name that must not exist, so that readers see one version or the next and of two writers
-of a version one fails. Older versions and files stay readable until vacuum().
+runs of similar size (a tier: sizes within a factor of `fanout`) into files of about `target_bytes`: each group of a run is
+read by one task and becomes one file, without a shuffle. Which files make up the store is said by manifests
+alone: `manifest/v<number>` names an entries table, and is committed by making a file, whole, under a name that must be
+free, so that readers see one version or the next and of two writers of a version one fails. Older versions and files
+stay readable until vacuum().
 
 Entries are a table (path, bytes, rows, tier), read and written by Spark; the driver holds the plan of one
-compaction, whose groups name as many files as are being merged.
+compaction, whose groups name as many files as are being merged, and the paths of what read() opens, as Spark's own
+index of files does.
 
 Defined results: an empty arrival makes a version without files; columns are stored as they are; all rows are
 kept once, also repeated ones and those with nulls.
@@ -23,6 +25,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import put_if_absent
+
+#: Groups that one job merges.
+GROUPS = 128
+UNION = "spark.sql.unionOutputPartitioning"
 ENTRY = "path string, bytes long, rows long, tier int"
 
 
@@ -95,14 +102,7 @@ class ShardStore:
         entries.coalesce(8).write.parquet(path)
         total = self.spark.read.schema(ENTRY).parquet(path).agg(F.count("*"), F.sum("rows"), F.sum("bytes")).first()
         body = json.dumps({"version": version, "entries": path, "files": total[0], "rows": total[1] or 0, "bytes": total[2] or 0})
-        fs, final = self._fs(f"{self.root}/manifest/v{version:08d}")
-        _, waiting = self._fs(f"{self.root}/manifest/.waiting-{uuid.uuid4().hex}")
-        fs.mkdirs(final.getParent())
-        out = fs.create(waiting, False)
-        out.write(bytearray(body.encode()))
-        out.close()
-        if fs.exists(final) or not fs.rename(waiting, final):
-            fs.delete(waiting, False)
+        if not put_if_absent(self.spark, f"{self.root}/manifest/v{version:08d}", body):
             raise CommitConflict(f"version {version} of {self.root} exists")
         return version
 
@@ -141,26 +141,25 @@ class ShardStore:
         groups = self.plan([tuple(r) for r in small])
         if not groups:
             return None
-        # as many files come out as there are groups; read tasks are joined, without a shuffle
         merged = None
         gone = [p for g in groups for p, _ in g]
-        for many in self._batches(groups):
-            rows = self.spark.read.parquet(*(p for g in many for p, _ in g)).coalesce(len(many))
-            made = self._write(rows)
-            merged = made if merged is None else merged.unionByName(made)
+        schema = self.spark.read.parquet(gone[0]).schema
+        together = self.spark.conf.get(UNION, "true")
+        self.spark.conf.set(UNION, "false")  # else tasks of several groups become one
+        try:
+            for i in range(0, len(groups), GROUPS):
+                rows = None
+                for g in groups[i : i + GROUPS]:  # one task a group, one file of it
+                    one = self.spark.read.schema(schema).parquet(*(p for p, _ in g)).coalesce(1)
+                    rows = one if rows is None else rows.union(one)
+                made = self._write(rows)
+                merged = made if merged is None else merged.unionByName(made)
+        finally:
+            self.spark.conf.set(UNION, together)
         old = self.spark.createDataFrame([(p,) for p in gone], "path string")
         kept = entries.join(F.broadcast(old) if len(gone) <= 100_000 else old, "path", "left_anti")
         return self.commit(kept.unionByName(merged), base)
 
-    @staticmethod
-    def _batches(groups: list, files: int = 10_000) -> list[list]:
-        out: list[list] = [[]]
-        for g in groups:
-            if out[-1] and sum(map(len, out[-1])) + len(g) > files:
-                out.append([])
-            out[-1].append(g)
-        return out
-
     def vacuum(self) -> list[str]:
         """Delete data folders of which no version's entries name a file; their names."""
         named = set()

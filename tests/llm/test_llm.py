@@ -376,19 +376,24 @@ def test_best_fit():
         assert sorted(size - sum(lengths[i] for i in row) for row in rows) == sorted(plain)
 
 
-def test_token_packing_round_trip(spark, empty):
-    rows = corpus(4, 20) + ODD + [(7777, "<|endoftext|> is text")]
-    out = tp.token_packing(frame(spark, rows), size=64, group_tokens=700).collect()
+@pytest.mark.parametrize("group_tokens", [700, 100_000])
+def test_token_packing_round_trip(spark, empty, tmp_path, group_tokens):
+    rows = corpus(4, 20) + ODD + [(7777, "<|endoftext|> is text"), (7778, "many words " * 3000)]
+    packed = tp.token_packing(frame(spark, rows).withColumns({"row": F.lit("clash"), "ids": F.lit(1)}), size=64, group_tokens=group_tokens)
+    out = packed.collect()
     coder = tp.encoder(ss.load_vocabulary("/opt/tokenizers/byte_bpe_50k.tiktoken"))
     parts = defaultdict(dict)
+    held = Counter()
     for x in out:
         ids = np.frombuffer(x["ids"], f"<u{x['width']}")
         pos = np.frombuffer(x["positions"], "<u2")
+        held[x["grp"]] += x["n_tokens"]
         assert len(ids) == len(pos) == 64 and x["cu_seqlens"][0] == 0 and x["cu_seqlens"][-1] == x["n_tokens"]
         assert [b - a for a, b in zip(x["cu_seqlens"], x["cu_seqlens"][1:], strict=False)] == [s["length"] for s in x["segments"]]
         for a, s in zip(x["cu_seqlens"], x["segments"], strict=False):
             assert list(pos[a : a + s["length"]]) == list(range(s["length"]))
-            parts[x["grp"], s["document"], s["id"]][s["start"]] = ids[a : a + s["length"]].tolist()
+            parts[x["grp"].split("-")[0], s["document"], s["id"]][s["start"]] = ids[a : a + s["length"]].tolist()
+    assert max(held.values()) <= group_tokens + 64
     texts = Counter()
     for (_, _, i), p in parts.items():
         ids = [t for at in sorted(p) for t in p[at]]
@@ -396,6 +401,10 @@ def test_token_packing_round_trip(spark, empty):
         texts[i, coder.decode(ids[:-1])] += 1
     assert texts == Counter((i, t or "") for i, t in rows)
     assert tp.token_packing(empty).count() == 0
+    written = tp.write_packed(packed, str(tmp_path / "packed"), size=64, rows=7)
+    assert {x["n_rows"] for x in written.collect()} <= set(range(1, 8)) and all(len(x["ids"]) == x["n_rows"] * 64 * x["width"] and x["cu_offsets"][-1] == len(x["cu_seqlens"]) for x in written.collect())
+    as_text = lambda df: sorted(str(r) for r in df.select(packed.columns).collect())
+    assert as_text(tp.packed_rows(written)) == as_text(packed)
 
 
 # ---------------------------------------------------------------- 6
@@ -610,6 +619,75 @@ def test_secrets(spark, empty):
     assert ss.secret_scan(frame(spark, ODD)).count() == len(ODD)
 
 
+def brute_base(t):
+    """The three patterns, letter by letter: (start, kind, end)."""
+    key = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in t)
+    out, at = [], 0
+    while at < len(t):
+        name = next((n for n in ("password", "passwd", "secret", "token", "api_key", "apikey") if low.startswith(n, at)), None)
+        i = at + len(name or "")
+        i += name is not None and i < len(t) and t[i] in "\"'"
+        while name and i < len(t) and t[i] == " ":
+            i += 1
+        if name and i < len(t) and t[i] in ":=":
+            i += 1
+            while i < len(t) and t[i] == " ":
+                i += 1
+            i += i < len(t) and t[i] in "\"'"
+            j = i
+            while j < len(t) and t[j] in key:
+                j += 1
+            if j > i:
+                if j - i >= 8:
+                    out.append((at, 0, j))
+                at = j
+                continue
+        at += 1
+    for kind, head, letters, least in ((1, "AKIA", set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 16), (2, "", set("0123456789abcdef"), 32)):
+        at = 0
+        while at < len(t):
+            j = at + len(head) if t.startswith(head, at) else at
+            while (j > at or not head) and j < len(t) and t[j] in letters:
+                j += 1
+            if j > at + len(head):
+                if j - at >= least:
+                    out.append((at, kind, j))
+                at = j
+            else:
+                at += 1
+    return sorted(out)
+
+
+def test_secrets_against_a_plain_scan(spark):
+    r = random.Random(13)
+    bits = ["password", "PassWD", "secret", "Token", "api_key", "APIkey", " ", "  ", ":", "=", '"', "'", "AKIA", "AKIAAKIA", "ABCDEF123456", "0123456789abcdef", "deadbeef", "x/+y_z.-=", "ſecret", "ü", "\n", "\t", "key", ",", "hello there"]
+    rows = [(i, "".join(r.choice(bits) for _ in range(r.randrange(1, 40)))) for i in range(1500)]
+    got = {x["doc_id"]: x for x in ss.secret_scan(frame(spark, rows).withColumns({"id": F.lit("clash"), "spans": F.lit(2)})).collect()}
+    kinds = ("assign", "access", "hex", "token")
+    seen = Counter()
+    for i, t in rows:
+        want = brute_base(t)
+        seen.update(k for _, k, _ in want)
+        assert (got[i]["n_assign"], got[i]["n_access"], got[i]["n_hex"]) == tuple(sum(k == x for _, k, _ in want) for x in range(3)), t
+        assert got[i]["base_sha256"] == hashlib.sha256(",".join(f"{kinds[k]}:{s}:{e}" for s, k, e in want).encode()).hexdigest()
+        spans = got[i]["spans"].split(",") if got[i]["spans"] else []
+        assert [x for x in spans if not x.startswith("token")] == [f"{kinds[k]}:{s}:{e}" for s, k, e in want]
+    assert min(seen[k] for k in range(3)) > 20
+
+
+def test_token_test_finds_random_strings():
+    r = random.Random(14)
+    scanner = ss.Scanner(ss.load_vocabulary("/opt/tokenizers/byte_bpe_50k.tiktoken"), r"\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+|\s+")
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    share = lambda letters, n, before="": sum(scanner.token_spans(f"a {before}{''.join(r.choice(letters) for _ in range(n))} b", []) != [] for _ in range(200)) / 200
+    assert share(lower + upper + digits + "+/", 40) > 0.98 and share(lower + upper + digits, 16) > 0.95
+    assert share(lower, 24) > 0.85 and share(upper, 24) > 0.95 and share(upper + "234567", 16) > 0.95
+    assert share(lower + upper + digits, 24, "documents/reset/password/") > 0.95
+    for plain in ("internationalization", "Donaudampfschifffahrt", "getElementsByTagName", "a_long_variable_name", "api/v2/users/settings", "2024-01-02-03-04-05", "a" * 40, "d41d8cd98f00b204e9800998ecf8427e", "123e4567-e89b-12d3-a456-426614174000"):
+        assert scanner.token_spans(f"see {plain} here", []) == [], plain
+
+
 # ---------------------------------------------------------------- 10
 
 
@@ -634,9 +712,65 @@ def test_shards(spark, tmp_path, empty):
     assert sh.shard(sh.ShardStore(spark, str(tmp_path / "t")), [empty]) is None
 
 
+def test_merges_go_by_group(spark, tmp_path):
+    """A merged file holds the rows of its group; of two writers one commits."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    store = sh.ShardStore(spark, str(tmp_path / "s"), target_bytes=12_000, fanout=3, min_bytes=1_000)
+    r = random.Random(15)
+    for k in range(9):
+        store.append(spark.createDataFrame([(100 * k + i, prose(r, 12)) for i in range(60)], "doc_id long, text string").coalesce(1))
+    before = {e["path"]: [x["doc_id"] for x in spark.read.parquet(e["path"]).collect()] for e in store.entries().collect()}
+    groups = store.plan([(e["path"], e["bytes"], e["tier"]) for e in store.entries().collect()])
+    store.compact()
+    made = [sorted(x["doc_id"] for x in spark.read.parquet(e["path"]).collect()) for e in store.entries().collect() if e["path"] not in before]
+    assert len(groups) > 1 and sorted(made) == sorted(sorted(i for p, _ in g for i in before[p]) for g in groups)
+    base, entries = store.manifest()["version"], store.entries()
+
+    def commit(_):
+        try:
+            return store.commit(entries, base)
+        except sh.CommitConflict:
+            return None
+
+    with ThreadPoolExecutor(4) as pool:
+        assert sum(x is not None for x in pool.map(commit, range(4))) == 1
+
+
+# ---------------------------------------------------------------- all
+
+
+def test_columns_of_any_name_do_no_harm(spark):
+    """Further columns, named as operators name theirs within, change nothing."""
+    rows = corpus(16, 25) + ODD
+    docs = frame(spark, rows)
+    names = ("id", "key", "digest", "node", "bands", "bucket", "label", "held_out", "place", "row", "units", "shard", "score", "rank", "length", "ord", "tie", "size", "block", "slot", "token", "tokens", "grp", "item_id", "c", "n", "base_score", "class_id")
+    clash = docs.withColumns({n: F.lit("clash") for n in names})
+    items = spark.createDataFrame(bench(random.Random(3), 5), "item_id long, text string")
+    model, shards = li.learn(docs), dc.build_shards(items)
+    ops = {
+        "line": lambda d: ld.line_dedup(d), "lm": lambda d: lm.lm_scoring(d, n_top=40, n_suffix=16).drop("score", "unigram_score"), "mix": lambda d: sm.source_mixing(d), "join": lambda d: nj.ngram_join(d),
+        "items": lambda d: dc.contamination(d, shards), "lang": lambda d: li.language_id(d, model), "secrets": lambda d: ss.secret_scan(d),
+        "one": lambda d: nj.one_of_each(d).select("doc_id", "text"), "clean": lambda d: dc.without_contaminated(d, shards).select("doc_id", "text"), "known": lambda d: li.keep_known(d, model).select("doc_id", "text"),
+    }
+    for name, op in ops.items():
+        assert Counter(map(str, op(clash).collect())) == Counter(map(str, op(docs).collect())), name
+
+
 # ---------------------------------------------------------------- pipeline
 
 
+def test_pipeline_of_empty_tables(spark, tmp_path, empty):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    empty.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns[: len(docs.columns)] == docs.columns and out.count() == 0, name
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_pipeline(spark, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     r = random.Random(11)
