@@ -150,7 +150,7 @@ def token_packing(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 MATRIX = "matrix string, n_rows int, size int, width int, ids binary, positions binary, cu_seqlens array<int>, cu_offsets array<int>, rows array<struct<grp:string,row:int,n_tokens:int,segments:{segments}>>"
 
 
-def write_packed(packed: DataFrame, path: str, size: int = 2048, rows: int = 256) -> DataFrame:
+def write_packed(packed: DataFrame, path: str, size: int = 2048, rows: int = 32) -> DataFrame:
     """Write packed rows as Parquet rows of one matrix each, and read them back.
 
     ids: n_rows x size little-endian, `width` bytes each; positions: likewise, 2 bytes each up to a size of 65,536, else 4. The
