@@ -288,6 +288,13 @@ class Text:
         power = self.scale(t)
         return None if power is None else scaled(t.value, power)
 
+    def scale_between(self, low: int, high: int, power: int) -> bool:
+        """Whether a scale word, or a currency scale of another power, stands between two places."""
+        if regex.compile(rf"(?<![{LN}])(?:{self.vocabulary.scale_names})s?(?![{LN}])").search(self.folded, low, high):
+            return True
+        marks = regex.compile(rf"[{CURRENCY_SIGNS}](?:(bn|Bn|BN|k|K|m|M)|['’]?000(?![.,][0-9]))(?![{LN}])").finditer(self.text, low, high)
+        return any((SUFFIX_POWERS[m[1]] if m[1] else 3) != power for m in marks)
+
     def qualifiers(self, t: Token) -> set[str]:
         """Comparators that apply to a token."""
         low, high = self.sentence(t.start, joined=True)
