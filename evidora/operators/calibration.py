@@ -172,3 +172,28 @@ def value_lines(packets: DataFrame, values: DataFrame) -> DataFrame:
 def reading_cache(sources: DataFrame, readings: DataFrame, key: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """(sources that a stored reading covers, with it; sources that must be read), by source, reader, options and format."""
     return sources.join(readings, list(key)), sources.join(readings.select(*key), list(key), "left_anti")
+
+
+#: Code points of text before and after a value in a prompt (fixed values).
+BEFORE, AFTER = 400, 150
+
+
+def label_sample(rows: DataFrame, question: str, key_clear: bool = False) -> DataFrame:
+    """The decisions that a person labels: for `key` those flagged KEY_NOT_AT_VALUE, for `field` those admitted.
+
+    key_clear: the field question also takes those whose only code is KEY_NOT_AT_VALUE, which a judgment can admit. Decisions without a
+    citation are not labelled.
+    """
+    if question not in ("key", "field"):
+        raise ValueError("the question is key or field")
+    flagged = F.coalesce(F.array_contains("codes", "KEY_NOT_AT_VALUE"), F.lit(False))
+    wanted = flagged if question == "key" else F.coalesce(F.col("outcome") == "admitted", F.lit(False))
+    if question == "field" and key_clear:
+        wanted = wanted | (flagged & (F.size("codes") == 1))
+    return rows.filter(F.col("start").isNotNull() & wanted)
+
+
+def prompt_state(text: Column, start: Column, end: Column, before: int = BEFORE, after: int = AFTER) -> Column:
+    """The text around a value, the value in brackets; places in code points."""
+    first = F.greatest(start - before, F.lit(0))
+    return F.concat(F.substring(text, first + 1, start - first), F.lit("["), F.substring(text, start + 1, end - start), F.lit("]"), F.substring(text, end + 1, F.lit(after)))

@@ -70,3 +70,15 @@ def planted_table(rows: DataFrame, planted: str) -> DataFrame:
     by = rows.groupBy(planted).pivot("outcome", ["admitted", "needs_verification", "rejected"]).agg(F.count("outcome")).na.fill(0)
     n = F.col("admitted") + F.col("needs_verification") + F.col("rejected")
     return by.select(planted, n.alias("n"), *(F.round(F.col(c) / n, 4).alias(c) for c in ("admitted", "needs_verification", "rejected")))
+
+
+def recall(gold: DataFrame, made: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(facts, accepted, accepted_or_review): distinct gold facts, those that an admitted decision states, and those that one not rejected does.
+
+    Decisions fall to one row a fact before the join, so that a fact stated many times is one row.
+    """
+    found = made.filter(F.col("outcome").isin("admitted", "needs_verification")).groupBy(*keys).agg(F.max((F.col("outcome") == "admitted").cast("int")).alias("_a"))
+    facts = gold.select(*keys).distinct().alias("g")
+    both = facts.join(found.alias("m"), [F.col(f"g.{k}").eqNullSafe(F.col(f"m.{k}")) for k in keys], "left")
+    total = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0)).cast("long")
+    return both.agg(F.count("*").alias("facts"), total(F.coalesce(F.col("_a"), F.lit(0))).alias("accepted"), total(F.col("_a").isNotNull()).alias("accepted_or_review"))

@@ -62,3 +62,58 @@ def escapes(settled: DataFrame, admitted: DataFrame, keys: Sequence[str], value:
     """Audited slots, and those whose settled value differs from the admitted one."""
     both = settled.join(admitted, list(keys))
     return both.agg(F.count("*").alias("audited"), F.sum((~F.col(value).eqNullSafe(F.col(truth))).cast("long")).alias("escapes"))
+
+
+# ---------------------------------------------------------------- fixed values
+CORRECTIONS = ("correct", "adjust_span")
+VERDICTS = ("confirm", "choose", "not_in_document", "unsure", "wrong", *CORRECTIONS)
+CLOSED_SET_VERDICTS = ("confirm", "choose", "not_in_document", "unsure")
+# ------------------------------------------------------------------------------
+
+
+def item_kind(kind: Column, closed: Column, long: Column) -> Column:
+    """What a task asks about: number, closed_set, span (a choice has a long citation) or text."""
+    return F.when(F.coalesce(kind.isin("number", "integer"), F.lit(False)), "number").when(F.coalesce(closed, F.lit(False)), "closed_set").when(F.coalesce(long, F.lit(False)), "span").otherwise("text")
+
+
+def check_answers(answers: DataFrame, task_rows: DataFrame) -> DataFrame:
+    """The answers with `fault` (null: well-formed) and `counts`: a log counts up to its first answer with a fault.
+
+    answers: (reviewer, sequence, task, verdict, decision, candidate, keys, ms, ...). task_rows: (task, item, choices array<int>), one row a
+    task. Logs are cut by one least value a reviewer, which is taken before the shuffle; a null sequence cannot be ordered and is a fault of
+    the whole log.
+    """
+    asked = task_rows.select("task", F.lit(True).alias("_known"), F.col("item").alias("_item"), F.col("choices").alias("_choices"))
+    rows = answers.join(asked, "task", "left")
+    no = F.lit(False)
+    verdict, decision = F.col("verdict"), F.col("decision")
+    typed = F.coalesce(verdict.isin(*CORRECTIONS), no)
+    chosen = F.coalesce(verdict == "choose", no)
+    whole = F.coalesce((F.col("keys") >= 0) & (F.col("ms") >= 0), no)
+    fault = (
+        F.when(F.col("sequence").isNull(), "sequence")
+        .when(F.col("_known").isNull(), "task")
+        .when(~F.coalesce(verdict.isin(*VERDICTS), no), "verdict")
+        .when(~whole, "counts")
+        .when((F.col("_item") == "closed_set") & ~verdict.isin(*CLOSED_SET_VERDICTS), "closed_set")
+        .when(chosen & ~F.coalesce(F.array_contains("_choices", decision), no), "decision")
+        .when(~chosen & decision.isNotNull(), "decision")
+        .when(typed != F.col("candidate").isNotNull(), "candidate")
+        .when((verdict == "confirm") & ~F.coalesce(F.size("_choices") == 1, no), "confirm")
+    )
+    rows = rows.withColumn("fault", fault).drop("_known", "_item", "_choices")
+    first = rows.filter(F.col("fault").isNotNull()).groupBy(F.col("reviewer").alias("_who")).agg(F.min(F.coalesce("sequence", F.lit(-(1 << 63)))).alias("_stop"))
+    out = rows.join(first, F.col("reviewer").eqNullSafe(F.col("_who")), "left")
+    return out.withColumn("counts", F.col("_stop").isNull() | F.coalesce(F.col("sequence") < F.col("_stop"), no)).drop("_who", "_stop")
+
+
+def blind(task_rows: DataFrame) -> DataFrame:
+    """(task, mode, item, field, choices): tasks as a reviewer sees them, without document, key of the store or index of a decision.
+
+    task_rows: (task, mode, item, field, choices array<struct<decision, value>>). A choice has its number in the task; an audit shows no
+    choices, and an audit of a closed set no task at all.
+    """
+    shown = F.transform("choices", lambda c, i: F.struct(i.alias("choice"), c["value"].alias("value")))
+    audit = F.coalesce(F.col("mode") == "audit", F.lit(False))
+    rows = task_rows.filter(~(audit & F.coalesce(F.col("item") == "closed_set", F.lit(False))))
+    return rows.select("task", "mode", "item", "field", F.when(~audit, shown).alias("choices"))

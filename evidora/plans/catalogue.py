@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import ship
 from .registry import QUERIES, SQL, Query
 
-for _name in ("set_queries", "window_queries", "calibration_queries", "text_queries", "gate_queries", "case_queries", "source_queries", "more_queries"):
+for _name in ("set_queries", "window_queries", "calibration_queries", "text_queries", "gate_queries", "case_queries", "source_queries", "more_queries", "review_queries"):
     importlib.import_module(f"{__package__}.{_name}")
 
 

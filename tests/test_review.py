@@ -128,3 +128,47 @@ def test_page_after_a_null(spark):
         got += [tuple(r) for r in page]
         at = got[-1]
     assert got == want
+
+
+def test_answers_count_up_to_a_fault(spark):
+    from evidora.operators import review
+
+    tasks = spark.createDataFrame([("t", "number", [0, 1]), ("u", "closed_set", [0]), ("e", "text", [])], "task string, item string, choices array<int>")
+    rows = [
+        ("a", 1, "t", "choose", 1, None, 1, 1), ("a", 2, "t", "choose", 2, None, 1, 1), ("a", 3, "t", "unsure", None, None, 1, 1),
+        ("b", 1, "u", "correct", None, "c", 1, 1), ("c", 1, "t", "confirm", None, None, 1, 1), ("d", 1, "u", "confirm", None, None, 1, 1),
+        ("d", 2, "t", "correct", None, "c", 1, 1), ("d", 3, "e", "adjust_span", None, None, 1, 1), ("f", 1, "x", "unsure", None, None, 1, 1),
+        ("g", 1, "t", None, None, None, 1, 1), ("h", 1, "t", "unsure", None, None, -1, 1), ("i", 1, "t", "unsure", 0, None, 1, 1),
+        ("j", 1, "t", "unsure", None, "c", 1, None), (None, 1, "t", "unsure", None, None, 1, 1), ("k", None, "t", "unsure", None, None, 1, 1),
+        ("k", 5, "t", "unsure", None, None, 1, 1), ("l", 1, "e", "confirm", None, None, 1, 1), ("m", 1, None, "unsure", None, None, 1, 1),
+    ]
+    answers = spark.createDataFrame(rows, "reviewer string, sequence long, task string, verdict string, decision int, candidate string, keys int, ms int")
+    got = {(r["reviewer"], r["sequence"]): (r["fault"], r["counts"]) for r in review.check_answers(answers, tasks).collect()}
+    assert len(got) == len(rows)
+    want = {("a", 2): "decision", ("b", 1): "closed_set", ("c", 1): "confirm", ("d", 3): "candidate", ("f", 1): "task", ("g", 1): "verdict", ("h", 1): "counts", ("i", 1): "decision", ("j", 1): "counts", ("k", None): "sequence", ("l", 1): "confirm", ("m", 1): "task"}
+    assert {k: f for k, (f, _) in got.items() if f} == want
+    assert {k for k, (_, counts) in got.items() if counts} == {("a", 1), ("d", 1), ("d", 2), (None, 1)}
+    assert review.check_answers(answers.limit(0), tasks).count() == 0
+
+
+def test_blind_tasks_hide_what_decides(spark):
+    from evidora.operators import review
+
+    rows = spark.createDataFrame([("t", "review", "number", "fee", [(7, "5"), (9, None)]), ("u", "audit", "number", "fee", [(7, "5")]), ("v", "audit", "closed_set", "fee", [(7, "5")]), ("w", None, None, None, None)], "task string, mode string, item string, field string, choices array<struct<decision:int,value:string>>")
+    got = {r["task"]: r["choices"] for r in review.blind(rows).collect()}
+    assert got == {"t": [(0, "5"), (1, None)], "u": None, "w": None}
+
+
+def test_label_samples_prompts_and_recall(spark):
+    from evidora.operators import calibration
+
+    rows = spark.createDataFrame([(1, "admitted", [], 0), (2, "needs_verification", ["KEY_NOT_AT_VALUE"], 0), (3, "needs_verification", ["QUALIFIED_VALUE", "KEY_NOT_AT_VALUE"], 0), (4, "admitted", [], None), (5, None, None, 0)], "id int, outcome string, codes array<string>, start long")
+    ids = lambda *a, **k: sorted(r["id"] for r in calibration.label_sample(rows, *a, **k).collect())
+    assert ids("key") == [2, 3] and ids("field") == [1] and ids("field", key_clear=True) == [1, 2]
+    text = "x" * 500 + "41" + "y" * 300
+    window = lambda t, a, b: spark.range(1).select(calibration.prompt_state(F.lit(t), F.lit(a), F.lit(b)).alias("s")).first()["s"]
+    assert window(text, 500, 502) == "x" * 400 + "[41]" + "y" * 150 and window("41", 0, 2) == "[41]" and window("", 0, 0) == "[]" and window(None, 0, 0) is None
+    gold = spark.createDataFrame([("a", "k", "1"), ("a", "k", "1"), ("a", None, "2"), ("b", "k", "1")], "doc string, key string, value string")
+    made = spark.createDataFrame([("a", "k", "1", "admitted"), ("a", "k", "1", "rejected"), ("a", None, "2", "needs_verification"), ("b", "k", "1", "rejected"), ("c", "k", "1", "admitted")], "doc string, key string, value string, outcome string")
+    assert tuple(measure.recall(gold, made, ["doc", "key", "value"]).first()) == (3, 1, 2)
+    assert tuple(measure.recall(gold.limit(0), made, ["doc", "key", "value"]).first()) == (0, 0, 0)
