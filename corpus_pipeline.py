@@ -13,7 +13,7 @@ from evidora.llm._shared import materialize, new_path, read, ship
 from evidora.llm.decontamination import build_shards, without_contaminated
 from evidora.llm.language_id import keep_known, learn
 from evidora.llm.ngram_join import one_of_each
-from evidora.llm.sharding import ShardStore, free_name, shard, shard_in_order
+from evidora.llm.sharding import ShardStore, free_name, shard_in_order
 from evidora.llm.source_mixing import in_mixed_order
 
 
@@ -42,12 +42,15 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with the shard that holds them in the committed version, and its tier; shards follow the order of the files."""
+    """All documents with the shard that holds them in the committed version, its tier and its place.
+
+    They arrive in the order of their files and are compacted by size as they do; shards by place, and the rows in each, keep that order.
+    """
     ship(spark)
-    store = ShardStore(spark, new_path(spark, "corpus"))
-    out = shard_in_order(store, docs) if docs.inputFiles() else shard(store, [docs])
+    out = shard_in_order(ShardStore(spark, new_path(spark, "corpus"), in_order=True), docs)
     if out is None:
-        return docs.withColumns({free_name("shard", docs.columns): F.lit(""), free_name("tier", docs.columns): F.lit(0)}).limit(0)
+        none = {"shard": F.lit(""), "tier": F.lit(0), "place": F.lit(0).cast("long")}
+        return docs.withColumns({free_name(n, docs.columns): c for n, c in none.items()}).limit(0)
     return out
 
 

@@ -818,3 +818,62 @@ def test_sharding_stage_keeps_the_order_of_files(spark, tmp_path):
         next((tmp_path / f"k{k}").glob("*.parquet")).rename(tmp_path / "mixed" / f"part-{k:05d}.parquet")
     out = corpus_pipeline.sharding_stage(spark, spark.read.parquet(str(tmp_path / "mixed")), "")
     assert [x["doc_id"] for x in out.collect()] == list(range(500))
+
+
+@pytest.mark.parametrize("groups", [1, 128])
+def test_sharding_stage_compacts_in_order(spark, tmp_path, monkeypatch, groups):
+    """Arrivals are merged as tiers fill, neighbours with neighbours; the shards by place hold the mix, in which Spark would not read them."""
+    import functools
+
+    import corpus_pipeline
+
+    r = random.Random(17)
+    rows = [(i, prose(r, r.randrange(1, 20 if i % 7 else 400)), "en", f"s{i % 3}", i) for i in range(900)]
+    docs = spark.createDataFrame(rows, DOCS).withColumn("Place", F.lit("clash"))
+    sm.in_mixed_order(docs, rows_per_part=40).write.parquet(str(tmp_path / "mixed"))
+    want = [x["doc_id"] for f in sorted((tmp_path / "mixed").glob("*.parquet")) for x in spark.read.parquet(str(f)).collect()]
+    monkeypatch.setattr(sh, "GROUPS", groups)
+    monkeypatch.setattr(corpus_pipeline, "ShardStore", functools.partial(sh.ShardStore, target_bytes=64_000, min_bytes=2_000))
+    monkeypatch.setattr(corpus_pipeline, "new_path", lambda spark, what: str(tmp_path / what))
+    out = corpus_pipeline.sharding_stage(spark, spark.read.parquet(str(tmp_path / "mixed")), "")
+    assert sorted(map(str, out.select(docs.columns).collect())) == sorted(map(str, docs.collect()))
+    store = sh.ShardStore(spark, str(tmp_path / "corpus"), target_bytes=64_000, min_bytes=2_000)
+    files = [store.manifest(v)["files"] for v in store.versions()]
+    held = [store.manifest(v)["rows"] for v in store.versions()]
+    merges = [k for k in range(1, len(files)) if held[k] == held[k - 1]]
+    assert merges and all(files[k] < files[k - 1] for k in merges) and len(set(held)) == store.fanout
+    for v, n in zip(store.versions(), held, strict=True):  # also in every older version
+        assert [x["doc_id"] for e in sorted(store.entries(v).collect()) for x in spark.read.parquet(e["path"]).collect()] == want[:n]
+    entries = sorted(store.entries().collect())
+    assert 1 < len(entries) < len(list((tmp_path / "mixed").glob("*.parquet"))) and all(e["tier"] == store.tier(e["bytes"]) > 0 for e in entries)
+    assert store.plan_in_order([(e["path"], e["bytes"]) for e in entries]) == [] and store.compact() is None
+    assert out.columns == [*docs.columns, "shard", "tier", "place_1"]
+    assert {(x["shard"], x["place_1"]) for x in out.collect()} == {(e["path"].rsplit("/", 1)[-1], e["at"]) for e in entries}
+    store.append(docs.limit(5).coalesce(1))  # a store opened anew goes on in order
+    assert store.manifest()["in_order"] and max(store.entries().collect())["rows"] == 5
+    loose = corpus_pipeline.shard_in_order(sh.ShardStore(spark, str(tmp_path / "loose")), docs.withColumns({"_at_file": F.lit("clash"), "a.b": F.lit("clash")}).repartition(3))
+    assert loose.count() == 900  # rows that no file holds
+
+
+def test_merges_in_order_take_neighbours():
+    store = sh.ShardStore(None, "", target_bytes=1000, fanout=4, min_bytes=10)
+    sizes = lambda *n: [(f"f{i}", s) for i, s in enumerate(n)]
+    plan = lambda *n: [[int(p[1:]) for p, _ in g] for g in store.plan_in_order(sizes(*n))]
+    assert plan(39, 41, 39, 41) == [[0, 1, 2, 3]] and store.tier(39) != store.tier(41)  # no fixed borders
+    assert plan(1, 2, 900, 1, 2) == plan(1, 1, 1) == plan() == plan(499, 1, 1, 1) == []
+    assert plan(160, 40, 15, 15, 15, 15) == [[1, 2, 3, 4, 5]] and plan(1, 2, 10, 40, 400) == [[0, 1, 2, 3]]
+    assert plan(*[300] * 7) == [[0, 1, 2], [3, 4, 5]]
+    r = random.Random(18)
+    for _ in range(300):
+        files = [([i], r.choice((1, 5, 20, 60, 200, 450, 700))) for i in range(r.randrange(40))]
+        n = len(files)
+        while groups := store.plan_in_order([(p[0], s) for p, s in files]):
+            for g in groups:
+                at = next(k for k, f in enumerate(files) if f[0][0] == g[0][0])
+                members = files[at : at + len(g)]
+                assert [(p[0], s) for p, s in members] == g and 1 < len(g) and sum(s for _, s in g) <= store.target_bytes
+                files[at : at + len(g)] = [(sum((p for p, _ in members), []), sum(s for _, s in members))]
+        assert [i for p, _ in files for i in p] == list(range(n))
+        for k in range(len(files) - 3):
+            four = [max(10, s) for _, s in files[k : k + 4]]
+            assert max(four) > 4 * min(four) or max(four) >= 500
