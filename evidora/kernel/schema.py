@@ -11,7 +11,7 @@ import regex
 
 from . import dates
 from .canonical import digest
-from .text import BASE, Vocabulary, fold, normalise, parse_value
+from .text import BASE, Shapes, Vocabulary, fold, normalise, parse_value
 from .units import UnitTable
 
 TYPES = ("number", "integer", "string", "date", "record", "passage")
@@ -134,6 +134,7 @@ class Schema:
     record_of: dict[str, str] = member(default_factory=dict)  # member field -> record field
     sha256: str = ""
     vocabulary: Vocabulary = BASE
+    shapes: Shapes = member(default_factory=Shapes, compare=False, repr=False)
 
     @staticmethod
     def of(obj: Any, packs: Sequence[Mapping[str, Any]] = ()) -> Schema:

@@ -60,6 +60,7 @@ class UnitTable:
             for s in after:
                 suffixes.setdefault(s, set()).add(code)
         self.suffixes = suffixes
+        self.digitless = not any(c.isdigit() for form in (*self.prefixes, *suffixes) for c in form)
         longest = lambda forms: "|".join(regex.escape(x) for x in sorted(forms, key=len, reverse=True))
         self._before = regex.compile(rf"(?:{longest(self.prefixes)})\s*$") if self.prefixes else None
         self._after = regex.compile(rf"(?:{longest(suffixes)})") if suffixes else None
@@ -69,6 +70,14 @@ class UnitTable:
         return not any(self.table.get(code, ((), ())))
 
     def near(self, text: Text, t: Token, window: int) -> Near:
+        if text.shared and not self.digitless:
+            return self._near(text, t, window)
+        known, key = text.shape.near, (self, t.start, window)
+        if key not in known:
+            known[key] = self._near(text, t, window)
+        return known[key]
+
+    def _near(self, text: Text, t: Token, window: int) -> Near:
         s = text.text
         before: set[str] = set()
         low = max(0, t.start - 24)

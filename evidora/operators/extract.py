@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..kernel.canonical import NotCanonical, loads, text_digest
-from ..kernel.text import Text, fold
+from ..kernel.text import Shapes, Text, fold
 from .chunks import windows_of
 
 # ---------------------------------------------------------------- fixed limits
@@ -165,27 +165,38 @@ def replay(record: DataFrame, docs: DataFrame, prompt: Callable[[str], str], siz
 
 def labelled_lines(text: str, fields: Mapping[str, Sequence[str]]) -> list[tuple[str, int, int, int, int]]:
     """(field, label start, label end, value start, value end) of lines `label: value` and `label<tab>value` whose label is an alias of a field."""
-    names = {" ".join(fold(a).split()): f for f, words in fields.items() for a in words}
+    return _labelled(text, _label_names(fields))
+
+
+def _label_names(fields: Mapping[str, Sequence[str]]) -> dict[str, str]:
+    return {" ".join(fold(a).split()): f for f, words in fields.items() for a in words}
+
+
+_LABELLED = regex.compile(r"\s*(.*?\S)\s*(?::|\t)\s*(\S.*?)\s*(?:\t.*)?$")
+
+
+def _labelled(text: str, names: Mapping[str, str]) -> list[tuple[str, int, int, int, int]]:
     out, at = [], 0
     for line in text.split("\n"):
-        m = regex.match(r"\s*(.*?\S)\s*(?::|\t)\s*(\S.*?)\s*(?:\t.*)?$", line)
+        m = _LABELLED.match(line) if ":" in line or "\t" in line else None
         if m and (f := names.get(" ".join(fold(m[1]).split()))):
             out.append((f, at + m.start(1), at + m.end(1), at + m.start(2), at + m.end(2)))
         at += len(line) + 1
     return out
 
 
-def structure_candidates(docs: DataFrame, schema: Mapping[str, Any], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, candidates): what labelled lines propose for fields with aliases; proposer `structure`, value and field cited."""
+def structure_candidates(docs: DataFrame, schema: Mapping[str, Any], id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
+    """(doc_id, candidates): what labelled lines propose for fields with aliases; proposer `structure`, value and field cited. keep_text: with the text, as packets."""
     fields = {n: f for n, f in schema["fields"].items() if f.get("aliases")}
     rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text"))
 
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, shapes = _label_names({n: x["aliases"] for n, x in fields.items()}), Shapes()
         for b in batches:
-            out = []
-            for r in b.to_pylist():
-                t, made = Text(r["text"] or ""), []
-                for f, a, e, s, z in labelled_lines(t.text, {n: x["aliases"] for n, x in fields.items()}):
+            ids, texts, out = b.column(0).to_pylist(), b.column(1).to_pylist(), []
+            for text in texts:
+                t, made = Text(text or "", shapes=shapes), []
+                for f, a, e, s, z in _labelled(t.text, names):
                     kind = fields[f].get("type", "number")
                     values: list[tuple[str, int, int]] = [(t.text[s:z], s, z)] if kind == "string" else [(format(x.value, "f"), x.start, x.end) for x in t.tokens_in(s, z) if x.value is not None]
                     if len(values) != 1:
@@ -196,10 +207,11 @@ def structure_candidates(docs: DataFrame, schema: Mapping[str, Any], id_col: str
                     if fields[f].get("unit"):
                         c["unit"] = fields[f]["unit"]
                     made.append(json.dumps(c, ensure_ascii=False, sort_keys=True))
-                out.append({"doc_id": r["doc_id"], "candidates": made})
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("doc_id", pa.string()), ("candidates", pa.list_(pa.string()))]))
+                out.append(made)
+            columns = {"doc_id": pa.array(ids, pa.string()), **({"text": b.column(1)} if keep_text else {}), "candidates": pa.array(out, pa.list_(pa.string()))}
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    return rows.mapInArrow(propose, "doc_id string, candidates array<string>")
+    return rows.mapInArrow(propose, f"doc_id string, {'text string, ' if keep_text else ''}candidates array<string>")
 
 
 def without_rounded(values: DataFrame, keys: Sequence[str], value: str, place: str) -> DataFrame:

@@ -9,8 +9,11 @@ records, coverage) runs as DataFrame operations on the decisions.
 from __future__ import annotations
 
 import json
+import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from decimal import MAX_EMAX, MAX_PREC, MIN_EMIN, Context, Decimal
+from operator import itemgetter
 from typing import Any
 
 import pyarrow as pa
@@ -19,9 +22,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..arrow import pieces
-from ..kernel.gate import FLAG_ORDER, INFO_ORDER
-from ..kernel.schema import Policy, Schema
-from ..tables import materialize
+from ..kernel.canonical import NotCanonical, canonical, loads, quoted, text_digest
+from ..kernel.gate import FLAG_ORDER, INFO_ORDER, Packet, Prepared, Template, settle
+from ..kernel.schema import PacketError, Policy, Schema
+from ..kernel.text import Memo, digits_hidden
+from ..tables import materialize, small_side
 from . import sets
 
 #: Candidates that one call of the text rules takes.
@@ -31,12 +36,12 @@ SET_CODES = {"replace": "SET_REPLACES_NOTHING", "unique": "SET_DUPLICATE", "agre
 DECISION = (
     "doc_id string, pos int, candidate_id string, candidate_sha256 string, field string, key string, proposer string, record string, "
     "outcome string, codes array<string>, value string, unit string, source string, ref string, url string, start long, `end` long, "
-    "missing array<string>, parts array<struct<role:string,start:bigint,end:bigint,passed:boolean>>, place string, packet_error string"
+    "missing array<string>, parts array<struct<role:string,start:bigint,end:bigint,passed:boolean>>, place string, packet_error string, alone boolean"
 )
 _ARROW = pa.schema([
     ("doc_id", pa.string()), ("pos", pa.int32()), *((n, pa.string()) for n in ("candidate_id", "candidate_sha256", "field", "key", "proposer", "record", "outcome")),
     ("codes", pa.list_(pa.string())), *((n, pa.string()) for n in ("value", "unit", "source", "ref", "url")), ("start", pa.int64()), ("end", pa.int64()),
-    ("missing", pa.list_(pa.string())), ("parts", pa.list_(pa.struct([("role", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("passed", pa.bool_())]))), ("place", pa.string()), ("packet_error", pa.string()),
+    ("missing", pa.list_(pa.string())), ("parts", pa.list_(pa.struct([("role", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("passed", pa.bool_())]))), ("place", pa.string()), ("packet_error", pa.string()), ("alone", pa.bool_()),
 ])
 
 
@@ -44,7 +49,7 @@ def decisions(packets: DataFrame, schema: dict[str, Any], policy: dict[str, Any]
     """Steps 1 to 11 and each candidate's own flags: a row for each candidate.
 
     schema and policy are checked here, on the driver. extras_col: a JSON object with the members references, doubt,
-    read_complete, source_url, outline, missing_pages and places. packs: vocabulary and kind packs that the schema names. tasks: deal documents out to so many tasks first, for inputs of few files. A document that is no valid packet gives one row with packet_error and no decision.
+    read_complete, source_url, outline, missing_pages and places. packs: vocabulary and kind packs that the schema names. tasks: deal documents out to so many tasks first, for inputs of few files. A document that is no valid packet gives one row with packet_error and no decision. alone: whether no other decision of the document that is not rejected has the field and key; false where a slice cannot tell.
     """
     Schema.of(schema, packs)
     Policy.of(policy)
@@ -53,26 +58,18 @@ def decisions(packets: DataFrame, schema: dict[str, Any], policy: dict[str, Any]
     rows = packets.select(*cols)
     rows = rows.repartition(tasks) if tasks else rows
     many = F.greatest(F.lit(1), F.ceil(F.size("candidates") / SLICE)).cast("int")
-    rows = rows.withColumn("slice", F.explode(F.sequence(F.lit(0), many - 1)))
-    rows = rows.withColumn("candidates", F.slice("candidates", F.col("slice") * SLICE + 1, SLICE))
+    rows = rows.withColumns({"slices": many, "slice": F.explode(F.sequence(F.lit(0), many - 1))})
+    rows = rows.withColumn("candidates", F.slice("candidates", F.col("slice") * SLICE + 1, SLICE)).select("doc_id", "text", "extras", "candidates", "slice", "slices")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s, p, given = sent.value
-        schema, policy = Schema.of(s, given), Policy.of(p)
-        for b in pieces(batches, 1):
-            out = []
-            for r in b.to_pylist():
-                out += _decide(r, schema, policy)
-            yield pa.RecordBatch.from_pylist(out, schema=_ARROW)
+        return decide_batches(batches, Schema.of(s, given), Policy.of(p))
 
     return rows.mapInArrow(run, DECISION)
 
 
 def _check_extras(extras: dict[str, Any], text: str) -> None:
     """References, the read state and places of a packet. Raises PacketError."""
-    import unicodedata
-
-    from ..kernel.schema import PacketError
 
     def need(ok: bool, what: str) -> None:
         if not ok:
@@ -98,31 +95,106 @@ def _check_extras(extras: dict[str, Any], text: str) -> None:
         need(all(held[i] & 0xC0 != 0x80 for x in places for i in x[:2] if i < size), "a place cuts a character")
 
 
-def _decide(r: dict[str, Any], schema: Schema, policy: Policy) -> list[dict[str, Any]]:
-    import unicodedata
-
-    from ..kernel.canonical import NotCanonical, loads
-    from ..kernel.gate import Packet, decide
-    from ..kernel.schema import PacketError
-
+_NAMES = [f.name for f in _ARROW if f.name != "alone"]
+_FIELD, _KEY, _OUTCOME = map(_NAMES.index, ("field", "key", "outcome"))
+
+
+def _alone(rows: list[tuple], slices: int) -> list[bool]:
+    """Of each decision of a document: whether no other that is not rejected has its field and key."""
+    if slices > 1:
+        return [False] * len(rows)
+    slots = [(r[_FIELD], r[_KEY] or "") for r in rows]
+    if len(set(slots)) == len(slots):
+        return [True] * len(rows)
+    live = Counter(s for s, r in zip(slots, rows, strict=True) if r[_OUTCOME] != "rejected")
+    return [live[s] - (r[_OUTCOME] != "rejected") == 0 for s, r in zip(slots, rows, strict=True)]
+
+
+_in_order = itemgetter(*_NAMES)
+
+
+class _Known:
+    """Prepared candidates of a schema by their JSON text, and templates by that text without its digits."""
+
+    #: Characters of a candidate up to which it is kept for documents that repeat it.
+    LONGEST = 2000
+
+    def __init__(self, schema: Schema) -> None:
+        self.schema, self.ready, self.templates = schema, Memo(), Memo()
+
+    def of(self, raw: str | None) -> Template | Prepared | tuple[Any]:
+        """A template, a prepared candidate, or the candidate in a tuple. Raises what loads() does."""
+        if raw is None:
+            return (None,)
+        if len(raw) > self.LONGEST:
+            return (loads(raw),)
+        if raw.isascii():
+            key = digits_hidden(raw)
+            found = self.templates.get(key)
+            if found is None:
+                found = Template.of(raw, self.schema) or False
+                self.templates.put(key, found)
+            if found:
+                return found
+        return self.ready.get(raw) or (loads(raw),)
+
+    def prepared(self, raw: str | None, found: tuple[Any] | Prepared, packet: Packet) -> Prepared:
+        if isinstance(found, tuple):
+            found = Prepared(found[0], packet)
+            if raw is not None and found.fixed and len(raw) <= self.LONGEST:
+                self.ready.put(raw, found)
+        return found
+
+
+def decide_batches(batches: Iterator[pa.RecordBatch], schema: Schema, policy: Policy) -> Iterator[pa.RecordBatch]:
+    """Decisions of the candidates of batches of (doc_id, text, extras, candidates, slice, slices)."""
+    known = _Known(schema)
+    for b in pieces(batches, 1):
+        out: list[tuple] = []
+        for *r, slices in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            rows = _decide(*r, schema, policy, known)
+            out += zip(*zip(*rows, strict=True), _alone(rows, slices), strict=True)
+        columns = zip(*out, strict=True) if out else [()] * len(_ARROW)
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ARROW, strict=True)], schema=_ARROW)
+
+
+def _decide(doc_id: str, text: Any, extras: str | None, candidates: list[str | None] | None, part: int, schema: Schema, policy: Policy, known: _Known) -> list[tuple]:
+    """Rows of the decisions of a slice of a document's candidates."""
+    base = part * SLICE
     try:
-        if not isinstance(r["text"], str):
+        if not isinstance(text, str):
             raise PacketError("the document has no text")
-        if not r["text"].isascii() and not unicodedata.is_normalized("NFC", r["text"]):
+        if not text.isascii() and not unicodedata.is_normalized("NFC", text):
             raise PacketError("the text is not in NFC")
-        extras = loads(r["extras"]) if r["extras"] else {}
-        _check_extras(extras, r["text"])
-        doubt = [(d["start"], d["end"], d["confidence"]) for d in extras.get("doubt", ())]
-        if any(a >= b for a, b, _ in doubt) or any(x[1] > y[0] for x, y in zip(doubt, doubt[1:], strict=False)):
-            raise PacketError("doubt spans are not in order")
-        outline = [(h["start"], h["end"], h["level"]) for h in extras.get("outline", ())]
-        if any(a >= b or not 1 <= n <= 6 for a, b, n in outline) or any(x[1] > y[0] for x, y in zip(outline, outline[1:], strict=False)):
-            raise PacketError("headings are not in order")
-        packet = Packet(r["text"], schema, policy, {x["id"]: x["text"] for x in extras.get("references", ())}, doubt, extras.get("read_complete", True), extras.get("source_url"), outline, extras.get("missing_pages", ()), extras.get("places", ()))
-        given = [loads(c) if c is not None else None for c in r["candidates"] or ()]
+        extras = None if extras == "{}" else extras
+        if not extras:
+            packet = Packet(text, schema, policy)
+        else:
+            extras = loads(extras)
+            _check_extras(extras, text)
+            doubt = [(d["start"], d["end"], d["confidence"]) for d in extras.get("doubt", ())]
+            if any(a >= b for a, b, _ in doubt) or any(x[1] > y[0] for x, y in zip(doubt, doubt[1:], strict=False)):
+                raise PacketError("doubt spans are not in order")
+            outline = [(h["start"], h["end"], h["level"]) for h in extras.get("outline", ())]
+            if any(a >= b or not 1 <= n <= 6 for a, b, n in outline) or any(x[1] > y[0] for x, y in zip(outline, outline[1:], strict=False)):
+                raise PacketError("headings are not in order")
+            packet = Packet(text, schema, policy, {x["id"]: x["text"] for x in extras.get("references", ())}, doubt, extras.get("read_complete", True), extras.get("source_url"), outline, extras.get("missing_pages", ()), extras.get("places", ()))
+        given = [known.of(c) for c in candidates or ()]
     except (PacketError, NotCanonical, KeyError, TypeError, json.JSONDecodeError) as e:
-        return [{"doc_id": r["doc_id"], "pos": r["slice"] * SLICE, "packet_error": f"{type(e).__name__}: {e}"}]
-    return [{"doc_id": r["doc_id"], "pos": r["slice"] * SLICE + i, **decide(packet, c), "packet_error": None} for i, c in enumerate(given)]
+        return [_in_order({**dict.fromkeys(_NAMES), "doc_id": doc_id, "pos": base, "packet_error": f"{type(e).__name__}: {e}"})]
+    plain = not extras and packet.document.shared and "\t" not in text
+    out = []
+    for i, found in enumerate(given):
+        raw = candidates[i]
+        if isinstance(found, Template):
+            got = found.settle(raw, packet) if plain else None
+            if got is not None:
+                sha, outcome, codes, value, unit, source, start, end, place = got
+                out.append((doc_id, base + i, None, sha, found.f.name, None, None, None, outcome, codes, value, unit, source, None, None, start, end, (), (), place, None))
+                continue
+            found = (loads(raw),)
+        out.append(_in_order({"doc_id": doc_id, "pos": base + i, **settle(packet, known.prepared(raw, found, packet)), "packet_error": None}))
+    return out
 
 
 def _ordered(codes: Column) -> Column:
@@ -154,6 +226,7 @@ def judged(rows: DataFrame, judgments: DataFrame, policy: dict[str, Any]) -> Dat
     j = Policy.of(policy).judge
     if not j:
         return rows
+    unnamed, rows = rows.filter(F.col("candidate_id").isNull()), rows.filter(F.col("candidate_id").isNotNull())  # no judgment names those
     own = judgments.filter((F.col("judge_id") == j["id"]) & (F.col("judge_digest") == j["digest"]))
     said = own.groupBy("doc_id", "candidate_id").agg(F.max(F.when(F.col("question") == "key", F.struct(F.col("p"), F.col("answer")))).alias("_k"), F.max(F.when(F.col("question") == "field_match", F.col("p"))).alias("_m"))
     rows = rows.join(said, ["doc_id", "candidate_id"], "left")
@@ -169,12 +242,25 @@ def judged(rows: DataFrame, judgments: DataFrame, policy: dict[str, Any]) -> Dat
     codes = F.when(doubted, F.array_append(codes, F.lit("MODEL_DOUBT"))).otherwise(codes)
     rows = rows.withColumn("codes", codes).drop("_k", "_m")
     flags = F.size(F.array_intersect("codes", F.array(*(F.lit(c) for c in FLAG_ORDER))))
-    return rows.withColumn("outcome", F.when(F.col("outcome") == "rejected", "rejected").when(flags > 0, "needs_verification").otherwise("admitted"))
+    rows = rows.withColumn("outcome", F.when(F.col("outcome") == "rejected", "rejected").when(flags > 0, "needs_verification").otherwise("admitted"))
+    return rows.unionByName(unnamed)
 
 
 def cross_checks(rows: DataFrame, schema: dict[str, Any], policy: dict[str, Any] | None = None, packs: tuple[dict[str, Any], ...] = (), positions: DataFrame | None = None) -> DataFrame:
-    """Flags that candidates give each other: conflicts, agreement between proposers, relations, records. positions: (doc_id, ref, position) of references in the document's set."""
+    """Flags that candidates give each other: conflicts, agreement between proposers, relations, records. positions: (doc_id, ref, position) of references in the document's set.
+
+    A decision alone in its slot, of a field in no relation or record, gets them from its own row; the others alone are shuffled.
+    """
     s, p = Schema.of(schema, packs), Policy.of(policy)
+    if "alone" in rows.columns:
+        tied = {n for r in s.relations for n in (r.total, *(n for n, _ in r.parts))} | set(s.record_of)
+        single = F.col("alone") & ~F.coalesce(F.col("field").isin(sorted(tied)), F.lit(False)) if tied else F.col("alone")
+        firm = sorted(k for k, v in p.proposers.items() if v == "corroborate")
+        own = rows.filter(single).drop("alone")
+        if firm:
+            own = _add(own, "NOT_CORROBORATED", F.coalesce(F.col("proposer").isin(firm), F.lit(False)) & F.col("packet_error").isNull() & F.col("start").isNotNull())
+        own = own.withColumn("codes", _ordered(F.col("codes")))
+        return cross_checks(rows.filter(~single).drop("alone"), schema, policy, packs, positions).unionByName(own)
     single = [n for n, f in s.fields.items() if not f.multiple and n not in s.record_of]
     rows = rows.withColumn("_k", F.coalesce("key", F.lit("")))
     live = rows.filter((F.col("outcome") != "rejected") & F.col("packet_error").isNull())
@@ -324,17 +410,22 @@ def set_positions(packets: DataFrame, id_col: str, extras_col: str) -> DataFrame
 def coverage(packets: DataFrame, rows: DataFrame, schema: dict[str, Any], id_col: str = "doc_id") -> DataFrame:
     """(doc_id, field, code): required fields without a live decision, of every valid document."""
     s = Schema.of(schema)
-    required = [n for n, f in s.fields.items() if f.required and n not in s.record_of]
+    required = sorted(n for n, f in s.fields.items() if f.required and n not in s.record_of)
     if not required:
         return rows.select("doc_id", "field", F.lit("").alias("code")).limit(0)
-    slots = packets.select(F.col(id_col).cast("string").alias("doc_id"), F.explode(F.array(*(F.lit(n) for n in sorted(required)))).alias("field")).distinct()
-    slots = slots.join(rows.filter(F.col("packet_error").isNotNull()).select("doc_id"), "doc_id", "left_anti")
-    live = rows.filter(F.col("outcome") != "rejected").select("doc_id", "field")
+    docs = packets.select(F.col(id_col).cast("string").alias("doc_id"))
+    invalid = F.col("packet_error").isNotNull()
+    have = rows.filter(invalid | (F.col("outcome") != "rejected") & F.col("field").isin(required)).select("doc_id", "field", invalid.alias("_invalid"))
     for f in s.fields.values():
         if f.members and f.required:  # a record that is not rejected
             lines = record_lines(rows, s, f).filter(F.col("outcome") != "rejected")
-            live = live.unionByName(lines.select("doc_id", "field"))
-    return sets.missing_required(slots, live, ["doc_id", "field"])
+            have = have.unionByName(lines.select("doc_id", "field", F.lit(False).alias("_invalid")))
+    # one row a document: at most the required fields come together in it
+    every = docs.select("doc_id", F.lit(None).cast("string").alias("field"), F.lit(False).alias("_invalid"), F.lit(True).alias("_doc")).unionByName(have.filter(F.col("doc_id").isNotNull()).withColumn("_doc", F.lit(False)))
+    found = every.groupBy("doc_id").agg(*(F.max(F.coalesce(F.col("field") == n, F.lit(False))).alias(f"_has{i}") for i, n in enumerate(required)), F.max("_invalid").alias("_invalid"), F.max("_doc").alias("_doc"))
+    lacks = F.array(*(F.when(~F.col(f"_has{i}"), F.lit(n)) for i, n in enumerate(required)))
+    out = found.filter(F.col("_doc") & ~F.col("_invalid")).select("doc_id", F.explode(lacks).alias("field"))
+    return out.filter(F.col("field").isNotNull()).withColumn("code", F.lit("REQUIRED_FIELD_MISSING"))
 
 
 def admit(packets: DataFrame, schema: dict[str, Any], policy: dict[str, Any] | None = None, judgments: DataFrame | None = None, packs: tuple[dict[str, Any], ...] = (), **options: Any) -> DataFrame:
@@ -345,7 +436,7 @@ def admit(packets: DataFrame, schema: dict[str, Any], policy: dict[str, Any] | N
     """
     rows = materialize(decisions(packets, schema, policy, packs=packs, **options), "decisions")
     if judgments is not None:
-        bad = invalid_judgments(rows, judgments).withColumn("_bad", F.lit("its judgments name no one candidate"))
+        bad = small_side(invalid_judgments(rows, judgments)).withColumn("_bad", F.lit("its judgments name no one candidate"))
         rows = rows.join(bad, "doc_id", "left").withColumn("packet_error", F.coalesce("packet_error", "_bad")).drop("_bad")
         rows = judged(rows, judgments, policy or {})
     extras = options.get("extras_col")
@@ -365,18 +456,37 @@ def receipts(rows: DataFrame, schema: dict[str, Any], policy: dict[str, Any] | N
     grouped = rows.filter(F.col("packet_error").isNull()).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("decisions"))
 
     def seal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from ..kernel.canonical import canonical, text_digest
-
-        for b in batches:
-            out = []
-            for r in b.to_pylist():
-                body = canonical({**head, "document": r["doc_id"], "decisions": [{k: v for k, v in d.items() if v is not None} for d in r["decisions"]]})
-                out.append({"doc_id": r["doc_id"], "n": len(r["decisions"]), "receipt": body, "sha256": text_digest("receipt", body)})
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("doc_id", pa.string()), ("n", pa.int32()), ("receipt", pa.string()), ("sha256", pa.string())]))
+        return seal_batches(batches, head)
 
     return grouped.mapInArrow(seal, "doc_id string, n int, receipt string, sha256 string")
 
 
+def seal_batches(batches: Iterator[pa.RecordBatch], head: dict[str, str]) -> Iterator[pa.RecordBatch]:
+    """Receipts of batches of (doc_id, decisions): written member by member from the columns of the decisions."""
+    rest = {k: canonical(v) for k, v in head.items()}
+    for b in batches:
+        ids, lists = b.column(0).to_pylist(), b.column(1)
+        each = lists.flatten()
+        names = sorted(f.name for f in each.type)
+        bodies = [""] * len(each)
+        for i, row in enumerate(zip(*(each.field(n).to_pylist() for n in names), strict=True)):
+            bodies[i] = "{" + ",".join([f'"{n}":{v if type(v) is int else _said(v)}' for n, v in zip(names, row, strict=True) if v is not None]) + "}"
+        sizes = lists.value_lengths().to_pylist()
+        receipts, at = [], 0
+        for doc_id, n in zip(ids, sizes, strict=True):
+            own = {**rest, "document": canonical(doc_id), "decisions": "[" + ",".join(bodies[at : at + n]) + "]"}
+            receipts.append("{" + ",".join(f'"{k}":{own[k]}' for k in sorted(own)) + "}")
+            at += n
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(sizes, pa.int32()), pa.array(receipts, pa.string()), pa.array([text_digest("receipt", x) for x in receipts], pa.string())], names=["doc_id", "n", "receipt", "sha256"])
+
+
+def _said(value: Any) -> str:
+    """Canonical JSON of a member: plain text, or a list."""
+    if type(value) is str and value.isascii():
+        return quoted(value)
+    return "[]" if value == [] else canonical(value)
+
+
 def verify(sealed: DataFrame, again: DataFrame) -> DataFrame:
     """(doc_id, status): whether a receipt comes out the same again: same, changed, missing or extra."""
     x, y = sealed.select("doc_id", F.col("sha256").alias("_a")), again.select("doc_id", F.col("sha256").alias("_b"))

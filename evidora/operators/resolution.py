@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .calibration import picked_at
-from .review import slots
 from .windows import latest
 
 SLOT = ("doc_id", "field", "key", "slot")
@@ -19,11 +18,10 @@ def slots_of(rows: DataFrame, multiple: Sequence[str]) -> DataFrame:
     marked = rows.withColumn("_multiple", F.col("field").isin(list(multiple)) if multiple else F.lit(False))
     live = F.col("outcome") != "rejected"
     slot = F.when(F.col("_multiple"), F.col("pos"))
-    own = slots(marked, ["doc_id", "field", "key"], "pos", "_multiple")
-    state = marked.groupBy("doc_id", "field", "key", slot.alias("slot")).agg(F.sum(live.cast("int")).alias("_live"), F.sum((F.col("outcome") == "admitted").cast("int")).alias("_admitted"), F.max(F.when(F.col("outcome") == "admitted", F.col("value"))).alias("value"))
-    on = [own[c].eqNullSafe(state[c]) for c in SLOT]
+    state = [F.sum(live.cast("int")).alias("_live"), F.sum((F.col("outcome") == "admitted").cast("int")).alias("_admitted"), F.max(F.when(F.col("outcome") == "admitted", F.col("value"))).alias("value")]
+    own = marked.groupBy("doc_id", "field", "key", slot.alias("slot")).agg(F.array_sort(F.collect_list("pos")).alias("decisions"), *state)
     mode = F.when(F.col("_live") == 0, "rejected").when((F.col("_live") == 1) & (F.col("_admitted") == 1), "audit").otherwise("review")
-    return own.join(state, on).select(*(own[c] for c in SLOT), "decisions", mode.alias("mode"), F.when(mode == "audit", F.col("value")).alias("value"))
+    return own.select(*SLOT, "decisions", mode.alias("mode"), F.when(mode == "audit", F.col("value")).alias("value"))
 
 
 def tasks_of(slot_rows: DataFrame, missing: DataFrame, audit_rate: str = "0.1", seed: str = "") -> DataFrame:

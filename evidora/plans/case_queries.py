@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..kernel.schema import Schema
 from ..operators import gate
 from ..session import ship
+from ..tables import deal
 from .registry import query, table
 
 _RECORD = {"type": "record", "members": {"code": {"type": "string", "required": True}, "price": {"unit": "USD"}}}
@@ -171,11 +172,12 @@ RELATIONS = [
 _NAMES = [c[0] for c in CASES]
 
 
-def case_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A packet for each order: that of case o_orderkey % (number of cases), with the order's number at its end."""
+def case_packets(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
+    """A packet for each order: that of case o_orderkey % (number of cases), with the order's number at its end. dealt: over tasks, before texts are made."""
     made = [(i, text, [json.dumps(c) for c in candidates], json.dumps(extras)) for i, (_, text, candidates, extras, _) in enumerate(CASES)]
     cases = spark.createDataFrame(made, "planted int, body string, candidates array<string>, extras string")
-    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("doc_id"), (F.col("o_orderkey") % len(CASES)).cast("int").alias("planted"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey")
+    rows = (deal(orders) if dealt else orders).select(F.col("o_orderkey").cast("string").alias("doc_id"), (F.col("o_orderkey") % len(CASES)).cast("int").alias("planted"))
     text = F.concat("body", F.lit(" (order no. "), "doc_id", F.lit(")"))
     return rows.join(F.broadcast(cases), "planted").select("doc_id", "planted", text.alias("text"), "candidates", "extras")
 
@@ -191,8 +193,7 @@ def _judgments(packets: DataFrame) -> DataFrame:
 
 def _decided(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
-    p = case_packets(spark, sf_dir)
-    rows = gate.admit(p, SCHEMA, POLICY, _judgments(p), extras_col="extras", tasks=spark.sparkContext.defaultParallelism)
+    rows = gate.admit(case_packets(spark, sf_dir, dealt=True), SCHEMA, POLICY, _judgments(case_packets(spark, sf_dir)), extras_col="extras")
     names = F.array(*(F.lit(n) for n in _NAMES))
     return rows.withColumn("case", F.element_at(names, (F.col("doc_id").cast("long") % len(CASES)).cast("int") + 1))
 

@@ -9,6 +9,7 @@ from ..functions import columns as C
 from ..operators import calibration, extract, gate, measure, resolution, review, sets, windows
 from ..session import ship
 from .gate_queries import _PLANTED, SCHEMA, _admitted
+from ..tables import deal
 from .registry import query, table
 
 # ---------------------------------------------------------------- text functions
@@ -226,9 +227,8 @@ def structure_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ship(spark)
     schema = {"fields": {"items": {"type": "integer", "aliases": ["Items"]}}}
-    p = packets(spark, sf_dir).select("doc_id", "text").repartition(spark.sparkContext.defaultParallelism)
-    found = extract.structure_candidates(p, schema)
-    rows = gate.admit(p.select(F.col("doc_id").cast("string").alias("doc_id"), "text").join(found, "doc_id"), schema)
+    found = extract.structure_candidates(packets(spark, sf_dir, dealt=deal).select("doc_id", "text"), schema, keep_text=True)
+    rows = gate.admit(found, schema)
     return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "field", "value", "outcome")
 
 
