@@ -95,19 +95,16 @@ def _check_extras(extras: dict[str, Any], text: str) -> None:
         need(all(held[i] & 0xC0 != 0x80 for x in places for i in x[:2] if i < size), "a place cuts a character")
 
 
-_NAMES = [f.name for f in _ARROW if f.name != "alone"]
+_NAMES = [f.name for f in _ARROW]
 _FIELD, _KEY, _OUTCOME = map(_NAMES.index, ("field", "key", "outcome"))
 
 
-def _alone(rows: list[tuple], slices: int) -> list[bool]:
-    """Of each decision of a document: whether no other that is not rejected has its field and key."""
-    if slices > 1:
-        return [False] * len(rows)
-    slots = [(r[_FIELD], r[_KEY] or "") for r in rows]
-    if len(set(slots)) == len(slots):
-        return [True] * len(rows)
-    live = Counter(s for s, r in zip(slots, rows, strict=True) if r[_OUTCOME] != "rejected")
-    return [live[s] - (r[_OUTCOME] != "rejected") == 0 for s, r in zip(slots, rows, strict=True)]
+def _marked(rows: list[tuple]) -> list[tuple]:
+    """The decisions of a document, alone where no other that is not rejected has their field and key."""
+    if len({(r[_FIELD], r[_KEY] or "") for r in rows}) == len(rows):
+        return rows
+    live = Counter((r[_FIELD], r[_KEY] or "") for r in rows if r[_OUTCOME] != "rejected")
+    return [(*r[:-1], live[r[_FIELD], r[_KEY] or ""] == (r[_OUTCOME] != "rejected")) for r in rows]
 
 
 _in_order = itemgetter(*_NAMES)
@@ -152,13 +149,12 @@ def decide_batches(batches: Iterator[pa.RecordBatch], schema: Schema, policy: Po
     for b in pieces(batches, 1):
         out: list[tuple] = []
         for *r, slices in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            rows = _decide(*r, schema, policy, known)
-            out += zip(*zip(*rows, strict=True), _alone(rows, slices), strict=True)
+            out += _decide(*r, slices, schema, policy, known)
         columns = zip(*out, strict=True) if out else [()] * len(_ARROW)
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ARROW, strict=True)], schema=_ARROW)
 
 
-def _decide(doc_id: str, text: Any, extras: str | None, candidates: list[str | None] | None, part: int, schema: Schema, policy: Policy, known: _Known) -> list[tuple]:
+def _decide(doc_id: str, text: Any, extras: str | None, candidates: list[str | None] | None, part: int, parts: int, schema: Schema, policy: Policy, known: _Known) -> list[tuple]:
     """Rows of the decisions of a slice of a document's candidates."""
     base = part * SLICE
     try:
@@ -181,20 +177,21 @@ def _decide(doc_id: str, text: Any, extras: str | None, candidates: list[str | N
             packet = Packet(text, schema, policy, {x["id"]: x["text"] for x in extras.get("references", ())}, doubt, extras.get("read_complete", True), extras.get("source_url"), outline, extras.get("missing_pages", ()), extras.get("places", ()))
         given = [known.of(c) for c in candidates or ()]
     except (PacketError, NotCanonical, KeyError, TypeError, json.JSONDecodeError) as e:
-        return [_in_order({**dict.fromkeys(_NAMES), "doc_id": doc_id, "pos": base, "packet_error": f"{type(e).__name__}: {e}"})]
+        return [_in_order({**dict.fromkeys(_NAMES), "doc_id": doc_id, "pos": base, "packet_error": f"{type(e).__name__}: {e}", "alone": parts == 1})]
     plain = not extras and packet.document.shared and "\t" not in text
     out = []
+    lone = parts == 1
     for i, found in enumerate(given):
         raw = candidates[i]
         if isinstance(found, Template):
             got = found.settle(raw, packet) if plain else None
             if got is not None:
                 sha, outcome, codes, value, unit, source, start, end, place = got
-                out.append((doc_id, base + i, None, sha, found.f.name, None, None, None, outcome, codes, value, unit, source, None, None, start, end, (), (), place, None))
+                out.append((doc_id, base + i, None, sha, found.f.name, None, None, None, outcome, codes, value, unit, source, None, None, start, end, (), (), place, None, lone))
                 continue
             found = (loads(raw),)
-        out.append(_in_order({"doc_id": doc_id, "pos": base + i, **settle(packet, known.prepared(raw, found, packet)), "packet_error": None}))
-    return out
+        out.append(_in_order({"doc_id": doc_id, "pos": base + i, **settle(packet, known.prepared(raw, found, packet)), "packet_error": None, "alone": lone}))
+    return _marked(out) if lone and len(out) > 1 else out
 
 
 def _ordered(codes: Column) -> Column:
