@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..kernel.canonical import NotCanonical, loads, text_digest
 from ..kernel.text import Shapes, Text, fold
+from ..tables import shuffle_tasks, spread
 from .chunks import windows_of
 
 # ---------------------------------------------------------------- fixed limits
@@ -218,8 +219,11 @@ def without_rounded(values: DataFrame, keys: Sequence[str], value: str, place: s
     """Rows without those that another value of the same keys, of a finer place, rounds to.
 
     Decimals; a value is a multiple of its place. Each value is rounded, both ways at a half, to every coarser place that its keys
-    have: few, and each rounded value once. So rows meet what they round to by an equi join, without pairs of a band.
+    have: few, and each rounded value once. So rows meet what they round to by an equi join, without pairs of a band. Shuffles have
+    tasks by the number of rows, so what a task holds does not grow with them.
     """
+    n = shuffle_tasks(values)
+    values = spread(values, n, *keys)
     exact = "decimal(38,10)"
     v, p = F.col(value).cast(exact), F.col(place).cast(exact)
     fine = values.select(*keys, v.alias("_v"), p.alias("_p")).distinct()
@@ -230,5 +234,5 @@ def without_rounded(values: DataFrame, keys: Sequence[str], value: str, place: s
     near = F.array(F.when(gap * 2 <= F.col("_to"), low), F.when(gap * 2 >= F.col("_to"), (low + F.col("_to")).cast(exact)))
     hit = fine.join(coarse, list(keys)).filter(F.col("_to") > F.col("_p")).select(*keys, "_v", "_to", F.explode(near).alias("_at"))
     hit = hit.filter(F.col("_at").isNotNull() & (F.col("_at") != F.col("_v"))).select(*keys, "_to", "_at").distinct()
-    rows = values.withColumns({"_to": p, "_at": v})
-    return rows.join(hit, [*keys, "_to", "_at"], "left_anti").select(*values.columns)
+    rows = spread(values.withColumns({"_to": p, "_at": v}), n, *keys, "_to", "_at")
+    return rows.join(spread(hit, n, *keys, "_to", "_at"), [*keys, "_to", "_at"], "left_anti").select(*values.columns)

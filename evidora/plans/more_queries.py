@@ -9,7 +9,7 @@ from ..functions import columns as C
 from ..operators import calibration, extract, gate, measure, resolution, review, sets, windows
 from ..session import ship
 from .gate_queries import _PLANTED, SCHEMA, _admitted
-from ..tables import deal
+from ..tables import deal, shuffle_tasks, spread
 from .registry import query, table
 
 # ---------------------------------------------------------------- text functions
@@ -121,7 +121,7 @@ def drop_rounded(spark: SparkSession, sf_dir: str) -> DataFrame:
     fine = li.filter("l_linenumber <> 1").select(F.col("l_partkey").alias("k"), F.round("l_extendedprice").cast("decimal(18,0)").alias("v"), F.lit(1).cast("decimal(18,0)").alias("place"))
     rough = li.filter("l_linenumber = 1").select(F.col("l_partkey").alias("k"), (F.round(F.col("l_extendedprice") / 1000) * 1000).cast("decimal(18,0)").alias("v"), F.lit(1000).cast("decimal(18,0)").alias("place"))
     out = extract.without_rounded(fine.unionByName(rough), ["k"], "v", "place")
-    return out.groupBy("k", F.col("v").cast("long").alias("v")).agg(F.count("*").alias("n"))
+    return spread(out, shuffle_tasks(li), "k", "v").groupBy("k", "v").agg(F.count("*").alias("n")).withColumn("v", F.col("v").cast("long"))
 
 
 # ---------------------------------------------------------------- review

@@ -12,7 +12,7 @@ from evidora.kernel.gate import Packet, decide
 from evidora.kernel.schema import Policy, Schema
 from evidora.operators import extract, gate, resolution
 from evidora.plans import gate_queries
-from evidora.tables import deal
+from evidora.tables import deal, shuffle_tasks
 
 SCHEMA = {
     "fields": {
@@ -132,3 +132,10 @@ def test_structure_candidates_keep_their_text(spark):
     docs = spark.createDataFrame([("1", "Items: 5\nFee: $3\n"), ("2", None)], "doc_id string, text string")
     got = extract.structure_candidates(docs, {"fields": {"items": {"type": "integer", "aliases": ["Items"]}}}, keep_text=True).collect()
     assert [(r["doc_id"], r["text"], len(r["candidates"])) for r in got] == [("1", "Items: 5\nFee: $3\n", 1), ("2", None, 0)]
+
+
+def test_shuffles_have_tasks_by_the_number_of_rows(spark):
+    assert shuffle_tasks(spark.range(1000)) is None and shuffle_tasks(spark.range(1000), spark.range(1000), each=100) == 20
+    many = spark.range(3_000_000)
+    values = many.selectExpr("id as k", "cast(id as decimal(18,0)) as v", "cast(1 as decimal(18,0)) as p")
+    assert extract.without_rounded(values, ["k"], "v", "p").rdd.getNumPartitions() == 12
