@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import shuffle_tasks, spread
+
 
 def _bucketed(df: DataFrame, start: str, end: str, width, name: str = "_bucket") -> DataFrame:
     """A row for each bucket that the half-open span [start, end) touches."""
@@ -27,7 +29,9 @@ def overlap_semi(spans: DataFrame, marks: DataFrame, keys: Sequence[str], start:
 
 
 def locators(spans: DataFrame, words: DataFrame, keys: Sequence[str], span_id: Sequence[str], start: str, end: str, w_start: str, w_end: str, page: str, box: Sequence[str]) -> DataFrame:
-    """Each span's first page and the box of its words there: (span_id, page, x0, y0, x1, y1)."""
+    """Each span's first page and the box of its words there: (span_id, page, x0, y0, x1, y1). Its join has tasks by the number of words and spans."""
+    n = shuffle_tasks(spans, words)
+    spans, words = spread(spans, n, *keys), spread(words, n, *keys)
     x0, y0, x1, y1 = box
     s = spans.select(*dict.fromkeys([*keys, *span_id]), F.col(start).alias("_s"), F.col(end).alias("_e"))
     on = [s[k] == words[k] for k in keys] + [s["_s"] < words[w_end], words[w_start] < s["_e"]]

@@ -10,7 +10,7 @@ from evidora.kernel import text as kernel_text
 from evidora.kernel.canonical import canonical, digest
 from evidora.kernel.gate import Packet, decide
 from evidora.kernel.schema import Policy, Schema
-from evidora.operators import extract, gate, resolution
+from evidora.operators import extract, gate, resolution, spans
 from evidora.plans import gate_queries
 from evidora.tables import deal, shuffle_tasks
 
@@ -139,3 +139,7 @@ def test_shuffles_have_tasks_by_the_number_of_rows(spark):
     many = spark.range(3_000_000)
     values = many.selectExpr("id as k", "cast(id as decimal(18,0)) as v", "cast(1 as decimal(18,0)) as p")
     assert extract.without_rounded(values, ["k"], "v", "p").rdd.getNumPartitions() == 12
+    words = many.selectExpr("id as k", "0 as ws", "1 as we", "1 as page", "0 as a", "0 as b", "1 as c", "1 as d")
+    at = spark.range(10).selectExpr("id as k", "0 as s", "1 as e")
+    boxes = spans.locators(at, words, ["k"], ["k"], "s", "e", "ws", "we", "page", ["a", "b", "c", "d"])
+    assert "REPARTITION_BY_NUM" in boxes._jdf.queryExecution().executedPlan().toString() and boxes.count() == 10
