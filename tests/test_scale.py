@@ -5,6 +5,7 @@ import random
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from evidora.kernel import text as kernel_text
 from evidora.kernel.canonical import canonical, digest
@@ -12,6 +13,7 @@ from evidora.kernel.gate import Packet, decide
 from evidora.kernel.schema import Policy, Schema
 from evidora.operators import extract, gate, resolution, spans
 from evidora.plans import gate_queries
+from evidora.sources import markup
 from evidora.tables import deal, shuffle_tasks
 
 SCHEMA = {
@@ -143,3 +145,11 @@ def test_shuffles_have_tasks_by_the_number_of_rows(spark):
     at = spark.range(10).selectExpr("id as k", "0 as s", "1 as e")
     boxes = spans.locators(at, words, ["k"], ["k"], "s", "e", "ws", "we", "page", ["a", "b", "c", "d"])
     assert "REPARTITION_BY_NUM" in boxes._jdf.queryExecution().executedPlan().toString() and boxes.count() == 10
+
+
+def test_pages_are_read_once_for_their_cells(spark):
+    pages = spark.createDataFrame([(1, "<table><tr><th>a</th><th>b</th></tr><tr><td>x</td><td>7</td></tr></table>")], "page_id int, html string")
+    cells = markup.labelled_cells(markup.node_rows(markup.read_markup(pages, "page_id", "html"), "page_id"), "page_id")
+    assert [(r["label"], r["header"], r["value"]) for r in cells.collect()] == [("x", "b", "7")]
+    assert "MapInArrow" not in cells._jdf.queryExecution().optimizedPlan().toString()
+    assert cells.filter(F.col("value").isNull()).count() == 0
