@@ -26,7 +26,7 @@ from ..kernel.canonical import NotCanonical, canonical, loads, quoted, text_dige
 from ..kernel.gate import FLAG_ORDER, INFO_ORDER, Packet, Prepared, Template, settle
 from ..kernel.schema import PacketError, Policy, Schema
 from ..kernel.text import Memo, digits_hidden
-from ..tables import materialize, small_side
+from ..tables import materialize, shuffle_tasks, small_side
 from . import sets
 
 #: Candidates that one call of the text rules takes.
@@ -444,37 +444,49 @@ def admit(packets: DataFrame, schema: dict[str, Any], policy: dict[str, Any] | N
 def receipts(rows: DataFrame, schema: dict[str, Any], policy: dict[str, Any] | None = None) -> DataFrame:
     """(doc_id, n, receipt, sha256): decisions of each document in order of digest, then position, as canonical JSON, sealed.
 
-    A document's decisions come together in one row; they are as many as its candidates.
+    A document's decisions come in order, one after the other, and are written as they come; its receipt is as long as they are.
     """
     from ..kernel.canonical import digest
 
     head = {"schema_sha256": Schema.of(schema).sha256, "policy_sha256": digest("policy", policy or {})}
     fields = ["candidate_sha256", "pos", "candidate_id", "field", "key", "proposer", "record", "outcome", "codes", "value", "unit", "source", "ref", "url", "start", "end", "missing", "parts"]
-    grouped = rows.filter(F.col("packet_error").isNull()).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("decisions"))
+    own = rows.filter(F.col("packet_error").isNull()).select("doc_id", *fields)
+    n = shuffle_tasks(own)
+    ordered = (own.repartition(n, "doc_id") if n else own.repartition("doc_id")).sortWithinPartitions("doc_id", "candidate_sha256", "pos")
 
     def seal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return seal_batches(batches, head)
 
-    return grouped.mapInArrow(seal, "doc_id string, n int, receipt string, sha256 string")
+    return ordered.mapInArrow(seal, "doc_id string, n int, receipt string, sha256 string")
 
 
 def seal_batches(batches: Iterator[pa.RecordBatch], head: dict[str, str]) -> Iterator[pa.RecordBatch]:
-    """Receipts of batches of (doc_id, decisions): written member by member from the columns of the decisions."""
+    """Receipts of decisions in the order of documents and receipts, written member by member."""
     rest = {k: canonical(v) for k, v in head.items()}
+    now, bodies, began = None, [], False
+
+    def sealed() -> tuple[str, int, str, str]:
+        own = {**rest, "document": canonical(now), "decisions": "[" + ",".join(bodies) + "]"}
+        body = "{" + ",".join([f'"{k}":{own[k]}' for k in sorted(own)]) + "}"
+        return now, len(bodies), body, text_digest("receipt", body)
+
+    def written(made: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*made, strict=True) if made else [()] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.string(), pa.string()), strict=True)], names=["doc_id", "n", "receipt", "sha256"])
+
     for b in batches:
-        ids, lists = b.column(0).to_pylist(), b.column(1)
-        each = lists.flatten()
-        names = sorted(f.name for f in each.type)
-        bodies = [""] * len(each)
-        for i, row in enumerate(zip(*(each.field(n).to_pylist() for n in names), strict=True)):
-            bodies[i] = "{" + ",".join([f'"{n}":{v if type(v) is int else _said(v)}' for n, v in zip(names, row, strict=True) if v is not None]) + "}"
-        sizes = lists.value_lengths().to_pylist()
-        receipts, at = [], 0
-        for doc_id, n in zip(ids, sizes, strict=True):
-            own = {**rest, "document": canonical(doc_id), "decisions": "[" + ",".join(bodies[at : at + n]) + "]"}
-            receipts.append("{" + ",".join(f'"{k}":{own[k]}' for k in sorted(own)) + "}")
-            at += n
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(sizes, pa.int32()), pa.array(receipts, pa.string()), pa.array([text_digest("receipt", x) for x in receipts], pa.string())], names=["doc_id", "n", "receipt", "sha256"])
+        names = sorted(n for n in b.schema.names if n != "doc_id")
+        keys, made = [f'"{n}":' for n in names], []
+        rows = zip(*(b.column(n).to_pylist() for n in names), strict=True)
+        for doc_id, row in zip(b.column("doc_id").to_pylist(), rows, strict=True):
+            if began and doc_id != now:
+                made.append(sealed())
+                bodies = []
+            now, began = doc_id, True
+            bodies.append("{" + ",".join([k + (quoted(v) if type(v) is str and v.isascii() else str(v) if type(v) is int else _said(v)) for k, v in zip(keys, row, strict=True) if v is not None]) + "}")
+        yield written(made)
+    if began:
+        yield written([sealed()])
 
 
 def _said(value: Any) -> str:
